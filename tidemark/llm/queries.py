@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, packing, quality, sketch, tokens, urls
+from tidemark.llm import katz, langid, mixing, neardup, packing, quality, sketch, tokens, urls
 from tidemark.llm.common import documents, remainder
 
 
@@ -31,6 +31,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, drops_blanks=False)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
@@ -45,6 +49,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), neardup.NearDup(shingle=2))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     langs, profile = langid.prototypes(langid.learn(docs, remainder(F.col("doc_id"), 5) != 0))
@@ -60,7 +68,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op4_packing, op5_quality, op6_mixing, op9_language, op10_urls)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_katz, op4_packing, op5_quality, op6_mixing, op7_neardup, op9_language, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
