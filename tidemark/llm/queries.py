@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import katz, langid, mixing, neardup, packing, quality, sketch, tokens, urls
+from tidemark.llm import katz, langid, mixing, neardup, packing, pii, quality, sketch, tokens, urls
 from tidemark.llm.common import documents, remainder
 
 
@@ -53,6 +53,10 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), neardup.NearDup(shingle=2))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir).select("doc_id", "text"), with_text=False).drop("text")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     langs, profile = langid.prototypes(langid.learn(docs, remainder(F.col("doc_id"), 5) != 0))
@@ -68,7 +72,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_katz, op4_packing, op5_quality, op6_mixing, op7_neardup, op9_language, op10_urls)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_katz, op4_packing, op5_quality, op6_mixing, op7_neardup, op8_personal_data, op9_language, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
