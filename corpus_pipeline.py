@@ -1,0 +1,71 @@
+"""The corpus pipeline: raw documents to packed token sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a frame that is
+written as Parquet and read again. All but the last return the columns of the documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import mixing, neardup, packing, pii, quality
+from tidemark.llm.common import documents, written
+
+#: Some stages can't be expressed in SQL; the pipeline is tested against brute force instead.
+ORACLE_SQL = None
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The documents' columns with another text, and its length where they hold it."""
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return docs.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line rules keep, without the lines that fail. Null and empty texts go."""
+    return _with_text(quality.clean_lines(docs).where("kept"), docs.columns, "clean_text")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates on five-word shingles, that with the smallest id.
+
+    Of rows that repeat an id one stays. Rows with a null id all stay.
+    """
+    judged = neardup.near_duplicates(docs)
+    # one row for each id: that of a smaller text class decides if texts of one id differ
+    dropped = written(judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "dropped")
+    near = F.broadcast if neardup.fits(dropped, neardup.NearDup().broadcast) else (lambda df: df)
+    left = docs.join(near(dropped), "doc_id", "left_anti").select(*docs.columns)
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their personal data replaced by its kind. Null texts stay null."""
+    return _with_text(pii.detect(docs), docs.columns, "masked_text")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its fitted rate says."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.resampled(mixing.mix(docs, labels), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, drops_blanks=False)
+
+
+STAGES = [("quality", clean), ("near duplicates", one_of_each), ("personal data", mask), ("mixing", mix), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -154,7 +154,7 @@ def profiles(docs: DataFrame, how: NearDup) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, sig binary")
 
 
-def _fits(df: DataFrame, limit: int) -> bool:
+def fits(df: DataFrame, limit: int) -> bool:
     """Whether a written table is at most so large on disk."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
     """
     pairs = written(pairs.distinct(), "pairs")
     texts = docs.select("doc_id", "text")
-    near = F.broadcast if _fits(pairs, how.broadcast) else (lambda df: df)
+    near = F.broadcast if fits(pairs, how.broadcast) else (lambda df: df)
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / how.salted).cast("int").alias("salts"))
     groups = written(groups, "heads")
     tail = texts.join(near(pairs.join(groups, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))), "doc_id")

@@ -72,8 +72,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_katz, op4_packing, op5_quality, op6_mixing, op7_neardup, op8_personal_data, op9_language, op10_urls)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_katz, op4_packing, op5_quality, op6_mixing, op7_neardup, op8_personal_data, op9_language, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
