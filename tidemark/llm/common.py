@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The bytes that part words: the space and U+0009 to U+000D. ``bytes.split()`` parts at exactly these.
@@ -42,6 +42,13 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(the written frame, its number of rows, observed while writing)."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, int(seen.get["n"])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

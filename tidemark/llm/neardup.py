@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, shuffle_parts, written
+from tidemark.llm.common import as_bytes, counted, shuffle_parts, written
 from tidemark.llm.components import components
 
 
@@ -189,7 +189,6 @@ def verified(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
     texts = docs.select("doc_id", "text")
     near = F.broadcast if fits(pairs, how.broadcast) else (lambda df: df)
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / how.salted).cast("int").alias("salts"))
-    groups = written(groups, "heads")
     tail = texts.join(near(pairs.join(groups, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))), "doc_id")
     head = texts.join(near(groups.select(F.col("b").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))), "doc_id")
     rows = tail.select("b", "salt", F.col("doc_id").alias("a"), "text").unionByName(head.select(F.col("doc_id").alias("b"), "salt", F.lit(None).cast("long").alias("a"), "text"))
@@ -214,15 +213,17 @@ def verified(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
     return rows.select("b", "salt", "a", "text").mapInArrow(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and are not dropped by their signatures."""
+def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup) -> DataFrame | None:
+    """Pairs (a, b) that share a bucket, lie in different components and are not dropped by their signatures; None if no bucket has such."""
     told = buckets.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     told = written(told, "told")
     parts = told.groupBy("band", "component").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top")).where("parts > 1")
-    mixed = written(mixed.select("band", F.col("top.component").alias("top"), F.ceil(F.col("all") / how.block).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("top.m")) / how.block).cast("int").alias("nq")), "mixed")
+    mixed = mixed.select("band", F.col("top.component").alias("top"), F.ceil(F.col("all") / how.block).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("top.m")) / how.block).cast("int").alias("nq"))
     members = told.join(mixed, "band").join(sigs.select("doc_id", "n", "sig"), "doc_id")
-    members = written(members.select("band", "doc_id", "component", (F.col("component") != F.col("top")).alias("minor"), "nb", "nq", "n", "sig"), "members")
+    members, many = counted(members.select("band", "doc_id", "component", (F.col("component") != F.col("top")).alias("minor"), "nb", "nq", "n", "sig"), "members")
+    if not many:
+        return None
     to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     hashed = F.xxhash64("doc_id", F.lit(1))
     base = members.select("band", to(F.col("nq")).alias("q"), F.pmod(hashed, F.col("nb")).cast("int").alias("c"), F.lit(0).alias("asks"), "doc_id", "component", "n", "sig")
@@ -277,9 +278,9 @@ def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; the smallest id of a component is kept."""
     all_docs = written(profiles(docs, how), "profiles")
-    classes = written(all_docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = all_docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     member = all_docs.select("doc_id", "n", "key").join(classes, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    # of repeated rows with the smallest id one is enough; texts that share that id but not its set don't join it
+    # of repeated rows with the smallest id one is enough
     firsts = all_docs.join(classes, "key").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["key"])
     reps = written(firsts.select("doc_id", "n", "bands", "sig"), "reps")
     sigs = reps.select("doc_id", "n", "sig")
@@ -288,14 +289,16 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     buckets = written(bands.join(heads, "band"), "buckets")
     shared = buckets.where("doc_id != head").groupBy("doc_id", "head").agg(F.count("*").alias("m"))
     first = shared.groupBy("doc_id").agg(F.max(F.struct("m", -F.col("head"))).alias("best")).select(F.col("doc_id").alias("a"), (-F.col("best.col2")).alias("b"))
-    links = written(verified(pruned(first, sigs, how), docs, how), "verified")
-    labels = written(components(links), "labels")
-    more = verified(_across(buckets.select("band", "doc_id"), labels, sigs, how), docs, how)
-    own = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-    drawn = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    over = written(components(drawn), "over").select(F.col("id").alias("component"), F.col("component").alias("last"))
-    final = labels.unionByName(drawn.select(F.col("a").alias("id"), F.col("a").alias("component"))).unionByName(drawn.select(F.col("b").alias("id"), F.col("b").alias("component")))
-    final = final.join(over, "component", "left").groupBy("id").agg(F.min(F.coalesce("last", "component")).alias("component"))
+    final = labels = written(components(verified(pruned(first, sigs, how), docs, how)), "labels")
+    across = _across(buckets.select("band", "doc_id"), labels, sigs, how)
+    more, found = counted(verified(across, docs, how), "verified") if across is not None else (None, 0)
+    if found:
+        own = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+        drawn = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        over = components(drawn).select(F.col("id").alias("component"), F.col("component").alias("last"))
+        # ids that had no link before name themselves
+        every = labels.unionByName(drawn.select(F.explode(F.array("a", "b")).alias("id")).withColumn("component", F.col("id")))
+        final = every.join(over, "component", "left").groupBy("id").agg(F.min(F.coalesce("last", "component")).alias("component"))
     out = member.join(final, member["rep"] == final["id"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
