@@ -58,7 +58,8 @@ def pack(values: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, percentil
     for w in np.unique(widths):
         at = np.flatnonzero(widths == w)
         if w:
-            low = v[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4)
+            kind = "<u2" if w <= 16 else "<u4"  # the bits above the width are exceptions
+            low = v[at].astype(kind).view(np.uint8).reshape(len(at), BLOCK, -1)
             bits = np.unpackbits(low, axis=2, bitorder="little")[:, :, :w]
             packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
         else:
@@ -108,9 +109,9 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
             at = np.flatnonzero(widths == w)
             size = BLOCK * int(w) // 8
             bits = np.unpackbits(raw[body[at][:, None] + np.arange(size)], axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-            full = np.zeros((len(at), BLOCK, 32), np.uint8)
+            full = np.zeros((len(at), BLOCK, 16 if w <= 16 else 32), np.uint8)
             full[:, :, :w] = bits
-            out[at] = np.packbits(full, axis=2, bitorder="little").view("<u4")[:, :, 0]
+            out[at] = np.packbits(full, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
     for k in np.flatnonzero(exceptions):
         at = int(body[k]) + BLOCK * int(widths[k]) // 8
         m = int(exceptions[k])

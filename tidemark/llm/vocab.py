@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+import sys
+from array import array
 
 import numpy as np
 
@@ -34,47 +35,60 @@ _LETTERS = _byte_letters()
 _CODERS: dict[tuple[str, bool], "Coder"] = {}
 
 
-class Coder:
-    """``drops_blanks``: the vocabulary ignores white space, so pieces are the bare words."""
+def _bare(text: str) -> list[bytes]:
+    """Words; A to Z are lower-cased, as the vocabulary does, where no special token could be met by it."""
+    raw = text.encode()
+    return (raw if b"<|" in raw else raw.lower()).split()
+
+
+class Coder(dict):
+    """Encodings by piece, made when first met. ``drops_blanks``: the vocabulary ignores white space, so pieces are the bare words."""
 
     def __init__(self, path: str, drops_blanks: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.drops_blanks = drops_blanks
-        self.cache: dict[str, bytes] = {}
-
-    def _piece(self, space: str, letters: str, marks: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize
-        word = letters.lower() if self.drops_blanks else space + letters
-        out = [t.id for t in tokens(word.translate(_LETTERS))]
-        if marks:
-            out += [t.id for t in tokens(marks)]
-        return np.asarray(out, "<u4").tobytes()
-
-    def _new(self, pieces: list[str]) -> list[bytes]:
-        """Encodings of distinct pieces."""
-        plain = [_PLAIN.fullmatch(x) for x in pieces]
-        rest = iter(self._ids([x for x, m in zip(pieces, plain, strict=True) if not m]))
-        return [self._piece(*m.groups()) if m else next(rest) for m in plain]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [None if _OTHER_SPACE.search(x) else x.encode().split() if self.drops_blanks else _PIECES.findall(x) for x in texts]
-        new = set(chain.from_iterable(x for x in pieces if x)).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
-            new = set(chain.from_iterable(x for x in pieces if x))
-        new = list(new)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.cache.update(zip(part, self._new([x.decode() for x in part] if self.drops_blanks else part), strict=True))
-        look = self.cache.__getitem__
-        return [b"".join(map(look, p)) if p is not None else self._ids([x])[0] for x, p in zip(texts, pieces, strict=True)]
+        self.words: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str | bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+            self.words.clear()
+        text = piece.decode() if self.drops_blanks else piece
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            space, letters, marks = plain.groups()
+            out = self._word(letters.lower() if self.drops_blanks else space + letters)
+            if marks:
+                out += self._word(marks)
+        else:
+            out = self._whole(text)
+        self[piece] = out
+        return out
+
+    def _word(self, word: str) -> bytes:
+        """A word, or a run of marks, that the tokenizer does not part."""
+        out = self.words.get(word)
+        if out is None:
+            spelled = word if word.isascii() and word[0] != " " else word.translate(_LETTERS)
+            ids = array("I", [t.id for t in self.model.tokenize(spelled)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out = self.words[word] = ids.tobytes()
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        if _OTHER_SPACE.search(text):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, _bare(text) if self.drops_blanks else _PIECES.findall(text)))
 
 
 def coder(path: str, drops_blanks: bool) -> Coder:
@@ -84,15 +98,8 @@ def coder(path: str, drops_blanks: bool) -> Coder:
     return _CODERS[path, drops_blanks]
 
 
-def encoded(path: str, drops_blanks: bool, texts: list[str], end_id: int, group: int = 2_000_000):
-    """Yields each text's ids with ``end_id`` after them; ``group``: code points encoded at a time."""
-    own, end = coder(path, drops_blanks), np.asarray([end_id], "<u4").tobytes()
-    k = 0
-    while k < len(texts):
-        n, size = k, 0
-        while n < len(texts) and (n == k or size + len(texts[n]) <= group):
-            size += len(texts[n])
-            n += 1
-        for x in own.encode(texts[k:n]):
-            yield x + end
-        k = n
+def encoded(path: str, drops_blanks: bool, texts: list[str], end_id: int):
+    """Yields each text's ids with ``end_id`` after them."""
+    encode, end = coder(path, drops_blanks).encode, np.asarray([end_id], "<u4").tobytes()
+    for text in texts:
+        yield encode(text) + end
