@@ -8,8 +8,9 @@
    that its similarity reaches the threshold is below the chosen miss probability.
 4. What is left is verified on the full sets, and components are drawn.
 5. Buckets that still hold several components are compared across them: the members outside a bucket's largest
-   component against all, in blocks, on signatures alone. Survivors are verified, and components are drawn
-   again. So no candidate pair goes untested unless its ends are linked already.
+   component against all, in blocks, on signatures alone. First each member's best pair is verified, and components
+   are drawn again; then all survivors that still lie across. So no candidate pair goes untested unless its ends
+   are linked already.
 
 The bands miss a pair at the threshold with a probability of (1 - 0.8^4)^24, or 3 in a million.
 
@@ -117,15 +118,15 @@ def least_matches(how: NearDup) -> list[tuple[int, int, int]]:
     return out
 
 
-def surviving(a: np.ndarray, b: np.ndarray, how: NearDup) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that no batch drops, whether they are as good as linked) of two arrays of signatures, row by row."""
+def surviving(a: np.ndarray, b: np.ndarray, how: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that no batch drops, whether they are as good as linked, their matches) of two arrays of signatures, row by row."""
     left, done, matches = np.arange(len(a)), 0, np.zeros(len(a), np.int64)
     sure = 0
     for n, least, sure in least_matches(how):
         matches = matches + (a[left, done:n] == b[left, done:n]).sum(axis=1)
         keep = matches >= least
         left, matches, done = left[keep], matches[keep], n
-    return left, matches >= sure
+    return left, matches >= sure, matches
 
 
 def profiles(docs: DataFrame, how: NearDup) -> DataFrame:
@@ -213,8 +214,11 @@ def verified(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
     return rows.select("b", "salt", "a", "text").mapInArrow(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup) -> DataFrame | None:
-    """Pairs (a, b) that share a bucket, lie in different components and are not dropped by their signatures; None if no bucket has such."""
+def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup, best: bool) -> DataFrame | None:
+    """Pairs (a, b) that share a bucket, lie in different components and are not dropped by their signatures; None if no bucket has such.
+
+    ``best``: of each member that asks only the pair with most matches in a block.
+    """
     told = buckets.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     told = written(told, "told")
     parts = told.groupBy("band", "component").agg(F.count("*").alias("m"))
@@ -247,7 +251,9 @@ def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup
         sure, unsure = [], []
         for x in ask:
             ok = np.flatnonzero((comp != x[5]) & (100 * np.minimum(n, x[6]) >= how.percent * np.maximum(n, x[6])))
-            left, certain = surviving(sig[ok], np.broadcast_to(np.frombuffer(x[7], np.uint8), (len(ok), how.hashes)), how)
+            left, certain, matches = surviving(sig[ok], np.broadcast_to(np.frombuffer(x[7], np.uint8), (len(ok), how.hashes)), how)
+            if best and len(left):
+                left, certain = left[[matches.argmax()]], certain[[matches.argmax()]]
             for k, yes in zip(ok[left], certain, strict=True):
                 (sure if yes else unsure).append((x[4], int(doc[k]), x[5], int(comp[k])))
         out = []
@@ -275,6 +281,16 @@ def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (id, component) after further links (a, b)."""
+    own = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+    drawn = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    over = components(drawn).select(F.col("id").alias("component"), F.col("component").alias("last"))
+    # ids that had no link before name themselves
+    every = labels.unionByName(drawn.select(F.explode(F.array("a", "b")).alias("id")).withColumn("component", F.col("id")))
+    return every.join(over, "component", "left").groupBy("id").agg(F.min(F.coalesce("last", "component")).alias("component"))
+
+
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; the smallest id of a component is kept."""
     all_docs = written(profiles(docs, how), "profiles")
@@ -289,16 +305,15 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     buckets = written(bands.join(heads, "band"), "buckets")
     shared = buckets.where("doc_id != head").groupBy("doc_id", "head").agg(F.count("*").alias("m"))
     first = shared.groupBy("doc_id").agg(F.max(F.struct("m", -F.col("head"))).alias("best")).select(F.col("doc_id").alias("a"), (-F.col("best.col2")).alias("b"))
-    final = labels = written(components(verified(pruned(first, sigs, how), docs, how)), "labels")
-    across = _across(buckets.select("band", "doc_id"), labels, sigs, how)
-    more, found = counted(verified(across, docs, how), "verified") if across is not None else (None, 0)
-    if found:
-        own = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-        drawn = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-        over = components(drawn).select(F.col("id").alias("component"), F.col("component").alias("last"))
-        # ids that had no link before name themselves
-        every = labels.unionByName(drawn.select(F.explode(F.array("a", "b")).alias("id")).withColumn("component", F.col("id")))
-        final = every.join(over, "component", "left").groupBy("id").agg(F.min(F.coalesce("last", "component")).alias("component"))
+    labels = written(components(verified(pruned(first, sigs, how), docs, how)), "labels")
+    for best in (True, False):  # what the best pairs join need not be compared in full
+        across = _across(buckets.select("band", "doc_id"), labels, sigs, how, best)
+        if across is None:
+            break
+        more, found = counted(verified(across, docs, how), "verified")
+        if found:
+            labels = written(_joined(labels, more), "labels")
+    final = labels
     out = member.join(final, member["rep"] == final["id"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
