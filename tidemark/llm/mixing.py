@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,11 @@ class Mix:
     targets: dict[str, float] = field(default_factory=lambda: {"good": 0.9, "poor": 0.08, "toxic": 0.02})
     max_labelled: int = 20_000
     vocabulary: int = 256
-    steps: int = 24
+    steps: int = 12
+    #: Steps taken in full; later ones are shortened, so that they settle where projection holds them.
+    full_steps: int = 5
+    #: The fit ends when no domain misses by more than this share of the budget.
+    tolerance: float = 1e-4
     #: Tokens wanted in all; unset: as many as keep the rate of the domain with the largest target near 1.
     budget: float | None = None
 
@@ -41,8 +46,16 @@ def domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+_MARKS = ".,;:!?#$%&*|\"'()"
+
+
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case words; marks part them too. The first or last may be empty."""
+    return F.split(F.lower(F.translate(text, _MARKS, " " * len(_MARKS))), r"[\x20\x09-\x0D]+")
 
 
 def _share(text: Column, letters: str, name: str) -> Column:
@@ -52,15 +65,19 @@ def _share(text: Column, letters: str, name: str) -> Column:
     return F.concat(F.lit(f"\x00{name}"), F.floor(F.log2(share + 0.001)).cast("string"))
 
 
-def evidence(text: Column, split: Column) -> Column:
-    """Distinct words without their marks, and measures of the text as words that no text holds."""
-    full = F.coalesce(text, F.lit(""))
-    plain = F.transform(split, lambda w: F.lower(F.trim(w, F.lit(".,;:!?#$%&*|\"'()"))))
+def with_evidence(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``carried`` with n_tokens and _evidence: distinct words, and measures of the text as words that no text holds.
+
+    Each step is a column of its own, so that none is computed twice.
+    """
+    full = F.coalesce(F.col("text"), F.lit(""))
+    split = docs.select(*carried, n_words(full).alias("n_tokens"), full.alias("_full"), plain_words(full).alias("_words"))
+    kinds = split.select("*", F.array_distinct("_words").alias("_kinds"), F.size("_words").alias("_all"))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    measures = F.array(_share(full, upper, "upper"), _share(full, "#$%&*", "symbols"), _share(full, "|", "bars"), _share(full, "!", "bangs"), _share(full, ".,", "stops"))
-    kinds = F.array_distinct(plain)
-    variety = F.concat(F.lit("\x00variety"), F.floor(4 * F.size(kinds) / F.greatest(F.size(split), F.lit(1))).cast("string"))
-    return F.concat(kinds, measures, F.array(variety))
+    t = F.col("_full")
+    measures = F.array(_share(t, upper, "upper"), _share(t, "#$%&*", "symbols"), _share(t, "|", "bars"), _share(t, "!", "bangs"), _share(t, ".,", "stops"))
+    variety = F.concat(F.lit("\x00variety"), F.floor(4 * F.size("_kinds") / F.greatest(F.col("_all"), F.lit(1))).cast("string"))
+    return kinds.select(*carried, "n_tokens", F.concat(F.col("_kinds"), measures, F.array(variety)).alias("_evidence"))
 
 
 def _summed(met: Column, table: Column, prior: float) -> Column:
@@ -94,8 +111,8 @@ class Classifier:
 def learn(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> Classifier:
     """From labelled documents; the driver gets the chosen words' counts."""
     chosen = labels.select("doc_id", domain().alias("domain")).distinct().orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "domain").limit(how.max_labelled)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("domain", words(F.col("text")).alias("w"), "text")
-    rows = written(rows.select("domain", evidence(F.col("text"), F.col("w")).alias("e")), "labelled")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    rows = written(with_evidence(rows, ["domain"]).select("domain", F.col("_evidence").alias("e")), "labelled")
     size = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     total = sum(size.values())
     if not total:
@@ -113,16 +130,17 @@ def learn(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> Classifier:
 def with_posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """``docs`` with n_tokens and p_<domain>."""
     carried = [c for c in docs.columns if c not in {"n_tokens", "rate", *[f"p_{d}" for d in DOMAINS]}]
-    split = docs.select(*carried, words(F.col("text")).alias("_words"))
-    told = split.select(*carried, F.size("_words").cast("long").alias("n_tokens"), evidence(F.col("text"), F.col("_words")).alias("_evidence"))
+    told = with_evidence(docs, carried)
     return told.select("*", *[p.alias(f"p_{d}") for d, p in zip(DOMAINS, classifier.posteriors(F.col("_evidence")), strict=True)]).drop("_evidence")
 
 
 def fit(posteriors: DataFrame, how: Mix = Mix()) -> tuple[list[dict[str, float]], dict[str, float]]:
     """The steps taken, each a move for each domain, and the targets in tokens.
 
-    Minimises the squared misses, each divided by its domain's tokens, over all rates. A document's gradient is
-    divided by its tokens, so long and short ones move alike; with these scales the step of 1 converges.
+    Minimises the squared misses of the domains over all rates. The gradient, one number for each domain, is scaled
+    by the inverse of the domains' products over the documents that still have a rate, and divided by a document's
+    tokens, so a step without projection would meet the targets at once. Each step is one aggregate over all
+    documents; the driver gets nine sums.
     """
     start = posteriors.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
     have = {d: float(start[d] or 0.0) for d in DOMAINS}
@@ -130,12 +148,20 @@ def fit(posteriors: DataFrame, how: Mix = Mix()) -> tuple[list[dict[str, float]]
     budget = how.budget if how.budget is not None else have[lead] / max(how.targets.get(lead, 0.0), 1e-9)
     wanted = {d: how.targets.get(d, 0.0) * budget for d in DOMAINS}
     moves: list[dict[str, float]] = []
-    for _ in range(how.steps):
-        r = rate(moves)
-        now = posteriors.agg(*[F.sum(r * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-        moves.append({d: (float(now[d] or 0.0) - wanted[d]) / have[d] if have[d] > 0 else 0.0 for d in DOMAINS})
-        if max(abs(m) for m in moves[-1].values()) < 1e-6:
+    pairs = [(a, b) for i, a in enumerate(DOMAINS) for b in DOMAINS[i:]]
+    for step in range(how.steps):
+        r, t = rate(moves), F.col("n_tokens")
+        p = {d: F.col(f"p_{d}") for d in DOMAINS}
+        told = posteriors.select("n_tokens", *p.values(), r.alias("r"))
+        now = told.agg(*[F.sum(F.col("r") * t * p[d]).alias(d) for d in DOMAINS], *[F.sum(F.when(F.col("r") > 0, t * p[a] * p[b])).alias(f"{a}_{b}") for a, b in pairs]).first()
+        miss = np.array([float(now[d] or 0.0) - wanted[d] for d in DOMAINS])
+        if np.abs(miss).max() <= how.tolerance * max(budget, 1e-9):
             break
+        gram = np.zeros((len(DOMAINS), len(DOMAINS)))
+        for a, b in pairs:
+            gram[DOMAINS.index(a), DOMAINS.index(b)] = gram[DOMAINS.index(b), DOMAINS.index(a)] = float(now[f"{a}_{b}"] or 0.0)
+        scaled = np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(len(DOMAINS)), miss, rcond=1e-12)[0]
+        moves.append(dict(zip(DOMAINS, (scaled * (1.0 if step < how.full_steps else 0.6)).tolist(), strict=True)))
     return moves, wanted
 
 
@@ -148,7 +174,10 @@ def rate(moves: list[dict[str, float]]) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """``docs`` with n_tokens, the posteriors and the fitted rate."""
+    """``docs`` with n_tokens, the posteriors and the fitted rate.
+
+    The posteriors are computed again in the last pass, which spares an exchange of the texts.
+    """
     classifier = learn(docs, labels, how)
     told = with_posteriors(docs, classifier)
     small = written(told.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS]), "posteriors")
@@ -156,6 +185,13 @@ def mix(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> DataFrame:
     return told.withColumn("rate", rate(moves))
 
 
+def rates(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """(doc_id, n_tokens, posteriors, rate) of every document, from posteriors computed once."""
+    told = with_posteriors(docs.select("doc_id", "text"), learn(docs, labels, how))
+    small = written(told.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS]), "posteriors")
+    return small.withColumn("rate", rate(fit(small, how)[0]))
+
+
 def resampled(mixed: DataFrame, columns: list[str], salt: str = "mix") -> DataFrame:
     """Each document as many times as its rate says: the whole part, and one more as often as the rest says, by a hash of the id."""
     chance = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(salt))) / F.lit(float(1 << 32))

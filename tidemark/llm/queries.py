@@ -45,8 +45,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixed.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate")
+    rates = mixing.rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rates.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
