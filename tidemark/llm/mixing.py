@@ -111,7 +111,7 @@ class Classifier:
 def learn(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> Classifier:
     """From labelled documents; the driver gets the chosen words' counts."""
     chosen = labels.select("doc_id", domain().alias("domain")).distinct().orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "domain").limit(how.max_labelled)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows
     rows = written(with_evidence(rows, ["domain"]).select("domain", F.col("_evidence").alias("e")), "labelled")
     size = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     total = sum(size.values())
