@@ -173,6 +173,37 @@ def test_katz_sums_to_one(docs):
     assert sum(sum(r.counts) for r in model) == uni.n
 
 
+def test_katz_bigrams_of_rare_words(spark):
+    """Equal to plain counts over all words, though the driver numbers but a few of them."""
+    rng = random.Random(5)
+    texts = {k: " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(0, 60))) for k in range(80)}
+    held = {k: k % 5 == 0 for k in texts}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in katz.score(d, F.col("doc_id") % 5 == 0, katz.Katz(vocabulary=12, block=900, row=2)).collect()}
+    ways = lambda t: list(zip([0, *t.split()], [*t.split(), 1], strict=True))
+    two = collections.Counter(x for k, t in texts.items() if not held[k] for x in ways(t))
+    one = collections.Counter(w for (_, w), c in two.items() for _ in range(c))
+    of = lambda c: katz.discounts([0] + [sum(x == r for x in c.values()) for r in range(1, 7)], 5)
+    d1, d2, n = of(one), of(two), sum(one.values())
+    left = {w: katz.discounted([c], d1)[0] for w, c in one.items()}
+    assert sum(left.values()) < n
+    p = lambda w: left[w] / n if w in left else 1 - sum(left.values()) / n
+    after = collections.defaultdict(dict)
+    for (h, w), c in two.items():
+        after[h][w] = c
+
+    def log(h, w):
+        own = after[h] if h in after else {}
+        if not own:
+            return math.log10(p(w))
+        facts = np.array([[sum(own.values()), *[sum(c == r for c in own.values()) for r in range(1, 6)], sum(map(p, own))]], float)
+        factor, alpha = katz.backoff(facts, d2)
+        return math.log10(katz.discounted([own[w]], d2)[0] * factor[0] if w in own else alpha[0] * p(w))
+
+    for k, t in texts.items():
+        assert math.isclose(got[k], sum(log(h, w) for h, w in ways(t)), rel_tol=1e-9), k
+
+
 def test_backoff_weights():
     # directly: the backoff weights close each context's distribution
     d = katz.discounts([0, 50, 20, 9, 5, 3, 2], 5)

@@ -1,14 +1,12 @@
 """Katz backoff scoring: Good-Turing discounted word bigrams over unigrams, exactly normalised.
 
-The events are the training words and the end of a text, and one event for all words never seen. The
-``vocabulary`` most frequent words are classes of their own in bigrams; all others share one class, inside
-which the unigram model decides. So bigram tables are bounded for each context, and
+The events are the training words and the end of a text, and one event for all words never seen. Every training
+word has bigrams of its own, as context and as continuation:
 
     P(w | h) = d(c) c(h, w) / c(h)         if the bigram was seen,
-               alpha(h) P(w)               otherwise,
+               alpha(h) P(w)               otherwise.
 
-each multiplied, for a word of the shared class, by its share of that class. alpha(h) gives the unseen classes
-exactly what discounting left.
+alpha(h) gives the unseen events exactly what discounting left.
 
 Work is done by blocks of documents: a block sends each distinct word, or bigram, once to the table partition
 that owns it, with its count in the block's training documents; so a word that is everywhere costs one entry
@@ -16,6 +14,10 @@ for each block. The partition adds the counts up, writes its part of the table,
 block's answers meet its tokens again by the block's number, and every token is evaluated. Counts cover all
 training documents.
 
+Words have numbers in bigrams. The ``vocabulary`` most frequent ones are numbered by the driver, which sends their
+probabilities to all tasks. Each other word is numbered by the partition that owns it, and its count goes along
+with its bigrams; so no task holds a table of all words.
+
 Edge cases: a null or empty text is its end alone; without training documents every token has probability 1;
 repeated rows are scored, and learned from, each; an empty table gives none; further columns are ignored.
 """
@@ -40,8 +42,10 @@ START, END, OTHER, FIRST = 0, 1, 2, 3
 
 @dataclass(frozen=True)
 class Katz:
-    #: Classes of bigrams, with those for the start, the end and the other words; at most 65,536.
+    #: Numbers that the driver gives out: to the start, the end, words never seen, and the most frequent words.
     vocabulary: int = 65_536
+    #: Continuations in a row of the model; a context with more has several rows.
+    row: int = 65_536
     #: Counts up to this are discounted.
     discounted: int = 5
     #: Bytes of text after which a block is closed, at the end of a document.
@@ -131,18 +135,42 @@ class Block:
         """Which tokens belong to training documents."""
         return np.repeat(~self.held, self.lens)
 
-    def bigrams(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(code of each position, ends included; the document of each)."""
-        ends = np.cumsum(self.lens + 1) - 1
-        to = np.empty(len(self.tokens) + len(self.lens), np.int64)
-        inner = np.ones(len(to), bool)
-        inner[ends] = False
-        to[inner] = classes[self.tokens]
-        to[ends] = END
-        before = np.empty_like(to)
-        before[1:] = to[:-1]
-        before[ends - self.lens] = START
-        return (before << 16 | to).astype(np.uint32), np.repeat(np.arange(len(self.lens)), self.lens + 1)
+
+def bigrams(numbers: np.ndarray, tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each position, ends included; the document of each), from the numbers of the block's words."""
+    ends = np.cumsum(lens + 1) - 1
+    to = np.empty(len(tokens) + len(lens), np.uint64)
+    inner = np.ones(len(to), bool)
+    inner[ends] = False
+    to[inner] = numbers[tokens]
+    to[ends] = END
+    before = np.empty_like(to)
+    before[1:] = to[:-1]
+    before[ends - lens] = START
+    return before << np.uint64(32) | to, np.repeat(np.arange(len(lens)), lens + 1)
+
+
+def _split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, continuations) of codes."""
+    return (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _pack(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted codes: steps of the contexts, and of the continuations inside each."""
+    context, to = _split(codes)
+    step = np.diff(context, prepend=0)
+    within = np.concatenate([[False], step[1:] == 0])
+    to[within] -= to[np.flatnonzero(within) - 1].copy()
+    return _squeeze(step.astype(np.uint32)), _squeeze(to.astype(np.uint32))
+
+
+def _unpack(steps: bytes, to: bytes) -> np.ndarray:
+    step, to = _expand(steps, np.uint32).astype(np.int64), np.cumsum(_expand(to, np.uint32), dtype=np.int64)
+    new = step > 0
+    new[0] = True
+    at = np.flatnonzero(new)
+    base = np.concatenate([[0], to[at[1:] - 1]])
+    return (np.cumsum(step) << 32 | (to - base[np.cumsum(new) - 1])).astype(np.uint64)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -152,7 +180,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def word_counts(blocks: DataFrame, parts: int) -> DataFrame:
-    """Rows of two kinds: ``model`` (word, c), one for each word; ``answer`` (block, part, data), the totals a block asked for."""
+    """Rows of two kinds: ``model`` (word, c), one for each word; ``answer`` (block, part, data, ranks), what a block asked for.
+
+    An answer has the words' totals and their ranks by total in the partition.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, *fields in _rows(batches):
@@ -172,17 +203,20 @@ def word_counts(blocks: DataFrame, parts: int) -> DataFrame:
         total = np.zeros(len(ids), np.uint64)
         for _, at, counts in told:
             total[at] += counts
+        rank = np.empty(len(ids), np.uint32)
+        rank[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(ids), dtype=np.uint32)
         kinds = ["model"] * len(ids) + ["answer"] * len(told)
         return pa.table(
             {
                 "kind": kinds, "part": pa.array([part] * len(kinds), pa.int32()), "block": pa.array([None] * len(ids) + [n for n, _, _ in told], pa.int64()),
                 "word": pa.array([*ids, *[None] * len(told)], pa.binary()), "c": pa.array([*total.tolist(), *[None] * len(told)], pa.int64()),
                 "data": pa.array([None] * len(ids) + [_squeeze(total[at]) for _, at, _ in told], pa.binary()),
+                "ranks": pa.array([None] * len(ids) + [_squeeze(rank[at]) for _, at, _ in told], pa.binary()),
             }
         )
 
     asked = blocks.mapInArrow(ask, "part int, block long, words binary, counts binary")
-    return asked.groupBy("part").applyInArrow(add, "kind string, part int, block long, word binary, c long, data binary")
+    return asked.groupBy("part").applyInArrow(add, "kind string, part int, block long, word binary, c long, data binary, ranks binary")
 
 
 def discounts(n: list[int], k: int) -> np.ndarray:
@@ -206,7 +240,7 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """N and V, the discounts, what is left for the unseen, the classes' words and probabilities."""
+    """N and V, the discounts, what is left for the unseen, the most frequent words' numbers and probabilities."""
 
     n: int
     v: int
@@ -223,7 +257,7 @@ class Unigrams:
 
 
 def unigrams(table: DataFrame, ends: int, how: Katz) -> Unigrams:
-    """From the table (word, c) and the number of training documents; the driver gets the classes and a few counts."""
+    """From the table (word, c) and the number of training documents; the driver gets the most frequent words and a few counts."""
     k = how.discounted
     seen = table.where("c > 0")
     sums = seen.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, k + 2)], *[F.sum(F.when(F.col("c") == r, F.col("c"))).alias(f"s{r}") for r in range(1, k + 1)]).first()
@@ -244,64 +278,105 @@ def unigrams(table: DataFrame, ends: int, how: Katz) -> Unigrams:
     return Unigrams(n, v, ends, d, scale, unseen, known, p)
 
 
+def numbered(blocks: DataFrame, answers: DataFrame, model: Unigrams, how: Katz, parts: int) -> DataFrame:
+    """Blocks (block, numbers, totals, tokens, docs, lens, held): the number and training count of each word instead of the word."""
+    known = model.known
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return _NUMBERED.empty_table()
+        kept = [block.column(c)[0].as_py() for c in ("words", "tokens", "docs", "lens", "held")]
+        b = Block.of(*kept)
+        owner, count, rank = b.owners(parts), np.zeros(len(b.words), np.uint64), np.zeros(len(b.words), np.int64)
+        for p, data, ranks in zip(*(answers.column(c).to_pylist() for c in ("part", "data", "ranks")), strict=True):
+            count[owner == p], rank[owner == p] = _expand(data, np.uint64), _expand(ranks, np.uint32)
+        own = np.where(count > 0, how.vocabulary + rank * parts + owner, OTHER)
+        if len(own) and own.max() >= 1 << 32:
+            raise ValueError("more words than numbers of 32 bits")
+        numbers = np.fromiter((known.get(w, x) for w, x in zip(b.words, own.tolist(), strict=True)), np.uint32, len(own))
+        return pa.table([pa.array([x], f.type) for x, f in zip([block.column("block")[0].as_py(), _squeeze(numbers), _squeeze(count), *kept[1:]], _NUMBERED, strict=True)], schema=_NUMBERED)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "block long, numbers binary, totals binary, tokens binary, docs array<long>, lens array<int>, held array<boolean>")
+
+
+_NUMBERED = pa.schema([_BLOCKS.field("block"), ("numbers", pa.binary()), ("totals", pa.binary()), *list(_BLOCKS)[2:]])
+
+
 def bigram_counts(blocks: DataFrame, model: Unigrams, how: Katz, parts: int) -> DataFrame:
-    """Rows of three kinds: ``model`` (context, words, counts), ``counts`` (counts of counts), ``answer`` (block, part, data, contexts, facts).
+    """Rows of three kinds: ``model`` (context, words, counts), ``counts`` (counts of counts), ``answer`` (block, part, data, facts, lower).
 
     An answer has the counts of the block's bigrams, in order, and for each of its contexts the total, how many
-    continuations were seen once, twice, ..., and their unigram probability together.
+    continuations were seen once, twice, ..., and their unigram probability together. In blocks that are not
+    ``numbered`` all words but the most frequent are one.
     """
-    k, p, known = how.discounted, model.p, model.known
+    k, p, known, by_number = how.discounted, model.p, model.known, "numbers" in blocks.columns
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, *fields in _rows(batches):
-            b = Block.of(*fields)
-            code, doc = b.bigrams(b.classes(known))
+            if by_number:
+                numbers, total, tokens = (_expand(x, kind) for x, kind in zip(fields[:3], (np.uint32, np.uint64, np.uint32), strict=True))
+                lens, held = np.asarray(fields[4], np.int64), np.asarray(fields[5], bool)
+            else:
+                b = Block.of(*fields)
+                numbers, total, tokens, lens, held = b.classes(known), np.zeros(len(b.words), np.uint64), b.tokens, b.lens, b.held
+            code, doc = bigrams(numbers, tokens, lens)
             codes, at = np.unique(code, return_inverse=True)
-            count = np.bincount(at[~b.held[doc]], minlength=len(codes)).astype(np.uint32)
-            owner = (codes >> np.uint32(16)) % np.uint32(parts)
+            count = np.bincount(at[~held[doc]], minlength=len(codes)).astype(np.uint32)
+            context, to = _split(codes)
+            rare = to >= how.vocabulary
+            order = np.argsort(numbers, kind="stable")
+            totals = np.zeros(len(codes), np.uint64)
+            totals[rare] = total[order[np.searchsorted(numbers[order], to[rare])]]
+            owner = context % parts
             for part in range(parts):
                 own = np.flatnonzero(owner == part)
                 if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number]), pa.array([_squeeze(np.diff(codes[own], prepend=np.uint32(0)))]), pa.array([_squeeze(count[own])])], names=["part", "block", "codes", "counts"])
+                    data = [*_pack(codes[own]), _squeeze(count[own]), _squeeze(totals[own[rare[own]]])]
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number]), *[pa.array([x]) for x in data]], names=["part", "block", "steps", "to", "counts", "totals"])
 
     def add(table: pa.Table) -> pa.Table:
         part, numbers = table.column("part")[0].as_py(), table.column("block").to_pylist()
-        asked = [np.cumsum(_expand(x, np.uint32), dtype=np.uint32) for x in table.column("codes").to_pylist()]
+        asked = [_unpack(x, y) for x, y in zip(table.column("steps").to_pylist(), table.column("to").to_pylist(), strict=True)]
         codes, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_expand(x, np.uint32) for x in table.column("counts").to_pylist()]), minlength=len(codes)).astype(np.int64)
-        context = (codes >> np.uint32(16)).astype(np.int64)
+        context, to = _split(codes)
+        rare = to >= how.vocabulary
+        weight = np.zeros(len(codes))
+        weight[~rare] = p[to[~rare]]
+        weight[at[rare[at]]] = model.probability(np.concatenate([_expand(x, np.uint64) for x in table.column("totals").to_pylist()]))
         contexts, first = np.unique(context, return_index=True)
         group = np.searchsorted(contexts, context)
         seen = total > 0
-        facts = np.zeros((len(contexts), k + 2))
+        facts = np.zeros((len(contexts), k + 1), np.uint64)
         facts[:, 0] = np.bincount(group, weights=total, minlength=len(contexts))
         for r in range(1, k + 1):
             facts[:, r] = np.bincount(group[total == r], minlength=len(contexts))
-        facts[:, k + 1] = np.bincount(group[seen], weights=p[(codes & np.uint32(0xFFFF))[seen]], minlength=len(contexts))
+        lower = np.bincount(group[seen], weights=weight[seen], minlength=len(contexts))
         rows: list[tuple] = []
         for x, a, b in zip(contexts.tolist(), first.tolist(), [*first[1:].tolist(), len(codes)], strict=True):
-            own = np.arange(a, b)[seen[a:b]]
-            if len(own):
-                rows.append(("model", part, None, x, (codes[own] & np.uint32(0xFFFF)).astype(np.int32).tolist(), total[own].tolist(), None, None, None))
+            every = np.arange(a, b)[seen[a:b]]
+            for j in range(0, len(every), how.row):
+                own = every[j : j + how.row]
+                rows.append(("model", part, None, x, to[own].tolist(), total[own].tolist(), None, None, None))
         rows.append(("counts", part, None, None, None, [int((total == r).sum()) for r in range(k + 2)], None, None, None))
         place = 0
         for number, own in zip(numbers, asked, strict=True):
             here = at[place : place + len(own)]
             place += len(own)
             mine = np.unique(group[here])
-            rows.append(("answer", part, number, None, None, None, _squeeze(total[here].astype(np.uint64)), _squeeze(contexts[mine].astype(np.uint16)), _zip(np.ascontiguousarray(facts[mine]).tobytes())))
-        names = ["kind", "part", "block", "context", "words", "counts", "data", "contexts", "facts"]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            rows.append(("answer", part, number, None, None, None, _squeeze(total[here].astype(np.uint64)), _squeeze(facts[mine].T.reshape(-1)), _squeeze(lower[mine])))
+        names = ["kind", "part", "block", "context", "words", "counts", "data", "facts", "lower"]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    asked = blocks.mapInArrow(ask, "part int, block long, codes binary, counts binary")
-    return asked.groupBy("part").applyInArrow(add, "kind string, part int, block long, context int, words array<int>, counts array<long>, data binary, contexts binary, facts binary")
+    asked = blocks.mapInArrow(ask, "part int, block long, steps binary, to binary, counts binary, totals binary")
+    return asked.groupBy("part").applyInArrow(add, "kind string, part int, block long, context long, words array<long>, counts array<long>, data binary, facts binary, lower binary")
 
 
 def backoff(facts: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(what a discounted count is multiplied with, alpha) of each context, from its facts.
 
-    If nothing was discounted, one event's worth is set aside; if no class is left unseen, nothing is.
+    If nothing was discounted, one event's worth is set aside; if no event is left unseen, nothing is.
     """
     k = len(d) - 1
     total, once, lower = facts[:, 0], facts[:, 1 : k + 1], facts[:, k + 1]
@@ -325,7 +400,8 @@ def score(docs: DataFrame, held_out: Column, how: Katz = Katz()) -> DataFrame:
     words = written(word_counts(blocks.select("block", "words", "tokens", "docs", "lens", "held"), parts), "words", ["kind"])
     ends = int(blocks.select(F.size(F.filter("held", lambda x: ~x)).alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0)
     uni = unigrams(words.where("kind = 'model'"), ends, how)
-    pairs = written(bigram_counts(blocks, uni, how, parts), "bigrams", ["kind"])
+    named = written(numbered(blocks, words.where("kind = 'answer'").select("block", "part", "data", "ranks"), uni, how, parts), "numbered")
+    pairs = written(bigram_counts(named, uni, how, parts), "bigrams", ["kind"])
     k = how.discounted
     sums = pairs.where("kind = 'counts'").agg(*[F.sum(F.get("counts", F.lit(r))).alias(f"n{r}") for r in range(1, k + 2)]).first()
     d2 = discounts([0] + [int(sums[f"n{r}"] or 0) for r in range(1, k + 2)], k)
@@ -335,42 +411,36 @@ def score(docs: DataFrame, held_out: Column, how: Katz = Katz()) -> DataFrame:
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not block.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        b = Block.of(*(block.column(c)[0].as_py() for c in ("words", "tokens", "docs", "lens", "held")))
-        told = {(a, p): (x, y, z) for a, p, x, y, z in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "data", "contexts", "facts")), strict=True)}
-        count, owner = np.zeros(len(b.words), np.float64), b.owners(parts)
-        for p in np.unique(owner):
-            count[owner == p] = _expand(told["word", p][0], np.uint64)
+        numbers, count, tokens = (_expand(block.column(c)[0].as_py(), t) for c, t in (("numbers", np.uint32), ("totals", np.uint64), ("tokens", np.uint32)))
+        docs, held = block.column("docs")[0].as_py(), block.column("held")[0].as_py()
+        lens, count = np.asarray(block.column("lens")[0].as_py(), np.int64), count.astype(np.float64)
+        told = {p: x for p, *x in zip(*(answers.column(c).to_pylist() for c in ("part", "data", "facts", "lower")), strict=True)}
         own = np.where(count > 0, uni.probability(count), uni.unseen) if uni.n else np.ones(len(count))
-        classes = b.classes(uni.known)
-        inside = np.where(classes == OTHER, np.log10(np.maximum(own, 1e-300) / max(uni.p[OTHER], 1e-300)), 0.0) if uni.n else np.zeros(len(count))
-        code, doc = b.bigrams(classes)
-        codes, at = np.unique(code, return_inverse=True)
-        context, to = (codes >> np.uint32(16)).astype(np.int64), (codes & np.uint32(0xFFFF)).astype(np.int64)
+        code, doc = bigrams(numbers, tokens, lens)
+        ends_at = np.cumsum(lens + 1) - 1
+        inner = np.ones(len(code), bool)
+        inner[ends_at] = False
+        alone, c = np.empty(len(code)), np.empty(len(code))
+        alone[inner], alone[ends_at] = own[tokens], uni.p[END]
+        c[inner], c[ends_at] = count[tokens], uni.ends
+        codes, first, at = np.unique(code, return_index=True, return_inverse=True)
+        context, _ = _split(codes)
         part = context % parts
         seen, factor, alpha = np.zeros(len(codes)), np.zeros(len(codes)), np.ones(len(codes))
         for p in np.unique(part):
             mine = np.flatnonzero(part == p)
-            data, contexts, facts = told["pair", p]
-            contexts = _expand(contexts, np.uint16).astype(np.int64)
-            f, a = backoff(np.frombuffer(_unzip(facts), np.float64).reshape(len(contexts), k + 2), d2)
-            here = np.searchsorted(contexts, context[mine])
+            data, facts, lower = told[p]
+            contexts, here = np.unique(context[mine], return_inverse=True)
+            f, a = backoff(np.column_stack([_expand(facts, np.uint64).reshape(k + 1, len(contexts)).T.astype(np.float64), _expand(lower, np.float64)]), d2)
             seen[mine], factor[mine], alpha[mine] = _expand(data, np.uint64), f[here], a[here]
         # recursion: a seen bigram, else the unigram by the context's weight
-        prob = np.where(seen > 0, discounted(seen, d2) * factor, alpha * uni.p[to]) if uni.n else np.ones(len(codes))
+        prob = np.where(seen > 0, discounted(seen, d2) * factor, alpha * alone[first]) if uni.n else np.ones(len(codes))
         logs = np.log10(np.maximum(prob, 1e-300))[at]
-        ends_at = np.cumsum(b.lens + 1) - 1
-        inner = np.ones(len(code), bool)
-        inner[ends_at] = False
-        logs[inner] += inside[b.tokens]
-        c = np.empty(len(code))
-        c[inner], c[ends_at] = count[b.tokens], uni.ends
         base = np.log10((c + 1) / (uni.n + uni.v + 1))
-        n = len(b.lens)
+        n = len(lens)
         summed = lambda x: np.bincount(doc, weights=x, minlength=n)
-        values = [b.docs, b.held.tolist(), b.lens + 1, summed(c > 0).astype(np.int64), np.full(n, uni.n), summed(base), summed(logs)]
+        values = [docs, held, lens + 1, summed(c > 0).astype(np.int64), np.full(n, uni.n), summed(base), summed(logs)]
         return pa.table([pa.array(x, t) for x, t in zip(values, kinds, strict=True)], names=names)
 
-    answers = words.where("kind = 'answer'").select("block", F.lit("word").alias("kind"), "part", "data", F.lit(None).cast("binary").alias("contexts"), F.lit(None).cast("binary").alias("facts")).unionByName(
-        pairs.where("kind = 'answer'").select("block", F.lit("pair").alias("kind"), "part", "data", "contexts", "facts")
-    )
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = pairs.where("kind = 'answer'").select("block", "part", "data", "facts", "lower")
+    return named.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
