@@ -469,6 +469,25 @@ def test_personal_data(spark, docs, none):
     assert [len(a[1]) for a in alone] == [1, 1] and alone[1][1][0][0] == alone[0][1][0][0] + len(far)
 
 
+def test_addresses_without_digits_or_at_signs():
+    w = pii.train()
+    for told in ("anre[at]doti[dot]org", "thin.er (at) veal (dot) org"):
+        for text in (f"on ou {told} re ti", "word " * 300 + f"{told} word" + " word" * 300, "1 @ " + "word " * 300 + told):
+            a = text.index(told)
+            assert (a, a + len(told), "email") in pii.find([text.encode()], w)[0][1], text
+
+
+def test_windows_left_out_change_nothing(monkeypatch):
+    """Long addresses among long stretches of words give the spans that decoding every window gives."""
+    rng = random.Random(9)
+    w = pii.train()
+    name = lambda n: "".join(rng.choice("abcdefghilmnorstu") for _ in range(n))
+    texts = [("word " * rng.randint(0, 60) + f"{name(rng.randint(1, 400))}{at}{name(rng.randint(1, 300))}.org" + " word" * rng.randint(0, 60)).encode() for at in ("@", "[at]") * 10]
+    got = pii.find(texts, w)
+    monkeypatch.setattr(pii, "_windows", lambda ids: np.ones(max(1, -(-(len(ids) - pii.STRIDE) // pii.STRIDE)), bool))
+    assert got == pii.find(texts, w)
+
+
 # 9 --------------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,8 @@ numbers and addresses in many spellings, those that are personal data labelled.
 that overlap by half; each character takes its label from the window that it lies deepest in, and spans are
 read off the whole text, so none is cut at a window's edge.
 
-Every kind holds a digit or an at sign. So windows without either, whose neighbours have none either, hold
-no span and are not decoded; the result is the same. Spans of the network must hold what their kind demands
+A span that is ``plausible`` holds a digit, an at sign, or "at" after a bracket. So windows without any, whose
+neighbours have none either, are decoded only if a span runs on into them; the result is the same. Spans of the network must hold what their kind demands
 (``plausible``), and do not touch what the patterns have found or have judged and dropped.
 
 Edge cases: a null or empty text has no span; repeated rows have equal results; very long texts are decoded
@@ -35,7 +35,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MAY_HOLD = re.compile(rb"[0-9@]")
+_MAY_HOLD = re.compile(rb"[0-9@]|[\[(]at[\])]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -319,32 +319,44 @@ def decode(ids: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _windows(ids: np.ndarray) -> np.ndarray:
-    """Starts of the windows to decode: those with a digit or an at sign, and their neighbours."""
+    """Which windows to decode first: those with a digit, an at sign or "at" after a bracket, and their neighbours."""
     may = ((ids >= 18) & (ids <= 27)) | (ids == 34)
+    may[:-2] |= ((ids[:-2] == 10) | (ids[:-2] == 61)) & (ids[1:-1] == 67) & (ids[2:] == 86)
     count = max(1, -(-(len(ids) - STRIDE) // STRIDE))
     has = np.zeros(count + 2, bool)
     at = np.flatnonzero(may) // STRIDE
     has[np.minimum(at, count - 1) + 1] = True
     has[np.clip(at - 1, 0, count - 1) + 1] = True
-    return np.flatnonzero((has[1:-1] | has[:-2] | has[2:])[:count]) * STRIDE
+    return (has[1:-1] | has[:-2] | has[2:])[:count]
 
 
 def model_spans(texts: list[str], w: dict[str, np.ndarray], most: int = 2048) -> list[list[Span]]:
     """Spans of the network in each text, reconciled over its windows."""
     coded = [symbols(t) for t in texts]
-    jobs = [(k, int(a)) for k, ids in enumerate(coded) if len(ids) for a in _windows(ids)]
     labels = [np.zeros(len(ids), np.int64) for ids in coded]
-    for j in range(0, len(jobs), most):
-        part = jobs[j : j + most]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for row, (k, a) in enumerate(part):
-            own = coded[k][a : a + WINDOW]
-            x[row, : len(own)] = own
-        for (k, a), y in zip(part, decode(x, w), strict=True):
-            n = len(coded[k])
-            # the middle half, and the outer quarters at the text's ends
-            lo, hi = (0 if a == 0 else a + STRIDE // 2), (n if a + WINDOW >= n else a + WINDOW - STRIDE // 2)
-            labels[k][lo:hi] = y[lo - a : hi - a]
+    done = [_windows(ids) if len(ids) else np.zeros(0, bool) for ids in coded]
+    jobs = [(k, int(i) * STRIDE) for k, own in enumerate(done) for i in np.flatnonzero(own)]
+    while jobs:
+        more = set()
+        for j in range(0, len(jobs), most):
+            part = jobs[j : j + most]
+            x = np.zeros((len(part), WINDOW), np.int64)
+            for row, (k, a) in enumerate(part):
+                own = coded[k][a : a + WINDOW]
+                x[row, : len(own)] = own
+            for (k, a), y in zip(part, decode(x, w), strict=True):
+                n = len(coded[k])
+                # the middle half, and the outer quarters at the text's ends
+                lo, hi = (0 if a == 0 else a + STRIDE // 2), (n if a + WINDOW >= n else a + WINDOW - STRIDE // 2)
+                labels[k][lo:hi] = y[lo - a : hi - a]
+                if lo and labels[k][lo]:
+                    more.add((k, a - STRIDE))
+                if hi < n and labels[k][hi - 1]:
+                    more.add((k, a + STRIDE))
+        # spans that run on
+        jobs = sorted((k, a) for k, a in more if not done[k][a // STRIDE])
+        for k, a in jobs:
+            done[k][a // STRIDE] = True
     out = []
     for y in labels:
         spans, at = [], 0
