@@ -7,7 +7,7 @@ read off the whole text, so none is cut at a window's edge.
 
 A span that is ``plausible`` holds a digit, an at sign, or "at" after a bracket. So windows without any, whose
 neighbours have none either, are decoded only if a span runs on into them; the result is the same. Spans of the network must hold what their kind demands
-(``plausible``), and do not touch what the patterns have found or have judged and dropped.
+(``plausible``), and do not touch what the patterns have found, or have judged as their own kind and dropped.
 
 Edge cases: a null or empty text has no span; repeated rows have equal results; very long texts are decoded
 window by window; an empty table gives none; columns of the input that clash with the new ones are replaced.
@@ -61,7 +61,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-def patterns(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
+def patterns(text: str) -> tuple[list[Span], list[Span]]:
     """(spans by the patterns, in order; matches that fail their kind's test)."""
     out: list[Span] = [(a, b, "email") for a, b in _emails(text)] if "@" in text else []
     failed = []
@@ -77,7 +77,7 @@ def patterns(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
             if good:
                 out.append((*m.span(), kind))
             elif len(digits) >= 10 or kind == "ip":
-                failed.append(m.span())
+                failed.append((*m.span(), kind))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]))), failed
 
 
@@ -383,14 +383,14 @@ def find(texts: list[bytes], w: dict[str, np.ndarray]) -> list[tuple[list[Span],
     held = [texts[k].decode("utf-8", "replace") for k in some]
     for k, text, extra in zip(some, held, model_spans(held, w), strict=True):
         base, failed = patterns(text)
-        taken = [s[:2] for s in base] + failed
+        taken = [s[:2] for s in base]
         added = []
         for a, b, kind in extra:
             while a < b and text[a] in " \n,;:":
                 a += 1
             while a < b and text[b - 1] in " \n,;:.":
                 b -= 1
-            if a < b and plausible(text[a:b], kind) and all(b <= x or y <= a for x, y in taken):
+            if a < b and plausible(text[a:b], kind) and all(b <= x or y <= a for x, y in taken + [s[:2] for s in failed if s[2] == kind]):
                 added.append((a, b, kind))
                 taken.append((a, b))
         out[k] = (base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))))
