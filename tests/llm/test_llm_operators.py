@@ -306,6 +306,11 @@ def test_quality(docs, none):
     assert quality.clean_lines(none).count() == 0
 
 
+@pytest.mark.parametrize(("line", "rule"), [("Home / News / Sport / Weather", "navigation"), ("Docs :: API :: Index", "navigation"), ("Really?! No?! Yes?! Go!?", "punctuation"), ("either/or and 10:30 or so!", None)])
+def test_lines_without_symbols_reach_the_rules(line, rule):
+    assert quality.line_fails(line.encode().split(), line.encode(), quality.LineRules()) == rule
+
+
 # 6 --------------------------------------------------------------------------------------------------------
 
 

@@ -55,10 +55,12 @@ def line_fails(words: list[bytes], line: bytes, rules: LineRules) -> str | None:
     n = len(words)
     if not n:
         return None
-    if len(line.translate(None, _NOT_SYMBOLS)) or b"!!" in line or b"??" in line or not line.isascii():
+    # neither rule counts a word in a line that holds nothing it looks for
+    if any(s in line for s in SEPARATORS):
         separators = sum(w in SEPARATORS for w in words)
         if separators >= rules.nav_separators and separators >= rules.nav_share * n:
             return "navigation"
+    if _SHOUT.search(line):
         odd = sum(1 for w in words if _SHOUT.search(w))
         if odd >= rules.symbol_words and odd >= rules.symbol_share * n:
             return "punctuation"
