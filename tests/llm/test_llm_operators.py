@@ -381,6 +381,21 @@ def test_a_hot_group_and_a_bad_head(spark):
     assert got == {k: v[1] for k, v in brute_components(dict(rows), 2).items()}
 
 
+def test_pairs_behind_a_misjudged_one_are_tested(spark):
+    """Pairs are taken for linked far too early, so that many stand for others and fail on the full sets."""
+    rng = random.Random(8)
+    base = prose(rng, 80).split()
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.choice((1, 3, 5, 7))):
+            w[at] = f"x{rng.random()}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, neardup.NearDup(shingle=2, doubt=0.9999)).collect()}
+    assert got == {k: v[1] for k, v in brute_components(dict(rows), 2).items()}
+
+
 def test_posterior_bounds():
     how = neardup.NearDup()
     rng = np.random.default_rng(1)

@@ -9,8 +9,9 @@
 4. What is left is verified on the full sets, and components are drawn.
 5. Buckets that still hold several components are compared across them: the members outside a bucket's largest
    component against all, in blocks, on signatures alone. First each member's best pair is verified, and components
-   are drawn again; then all survivors that still lie across. So no candidate pair goes untested unless its ends
-   are linked already.
+   are drawn again; then all survivors that still lie across, without those that pairs as good as linked would
+   join. Buckets in which such a pair fails on the full sets are compared once more, and nothing is left out. So
+   no candidate pair goes untested unless its ends are linked already.
 
 The bands miss a pair at the threshold with a probability of (1 - 0.8^4)^24, or 3 in a million.
 
@@ -45,6 +46,8 @@ class NearDup:
     hashes: int = 128
     batch: int = 32
     miss: float = 1e-6
+    #: A pair is as good as linked if the posterior that it is not is at most this.
+    doubt: float = 1e-4
     #: Members of a bucket compared at a time.
     block: int = 1024
     #: Documents verified against one head in a task's group.
@@ -114,7 +117,7 @@ def least_matches(how: NearDup) -> list[tuple[int, int, int]]:
         log = m * np.log(q) + (n - m) * np.log1p(-q)
         p = np.exp(log - log.max(axis=1, keepdims=True))
         tail = p[:, over].sum(axis=1) / p.sum(axis=1)
-        out.append((n, int(np.argmax(tail >= how.miss)), int(np.argmax(tail >= 1 - 1e-4)) if tail[-1] >= 1 - 1e-4 else n + 1))
+        out.append((n, int(np.argmax(tail >= how.miss)), int(np.argmax(tail >= 1 - how.doubt)) if tail[-1] >= 1 - how.doubt else n + 1))
     return out
 
 
@@ -214,10 +217,11 @@ def verified(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
     return rows.select("b", "salt", "a", "text").mapInArrow(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup, best: bool) -> DataFrame | None:
-    """Pairs (a, b) that share a bucket, lie in different components and are not dropped by their signatures; None if no bucket has such.
+def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup, best: bool, trust: bool) -> DataFrame | None:
+    """Pairs (a, b, relied) that share a bucket, lie in different components and are not dropped by their signatures; None if no bucket has such.
 
-    ``best``: of each member that asks only the pair with most matches in a block.
+    ``best``: of each member that asks only the pair with most matches in a block. ``trust``: leave out what pairs
+    as good as linked would join; ``relied`` is the bucket in which such a pair stands for others, else null.
     """
     told = buckets.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     told = written(told, "told")
@@ -234,7 +238,7 @@ def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup
     asks = members.where("minor").select("band", F.pmod(hashed, F.col("nq")).cast("int").alias("q"), to(F.col("nb")).alias("c"), F.lit(1).alias("asks"), "doc_id", "component", "n", "sig")
     rows = base.unionByName(asks).repartition(shuffle_parts(buckets.sparkSession), "band", "q", "c").sortWithinPartitions("band", "q", "c", "asks", "doc_id")
 
-    def pairs_of(block: list[tuple]) -> list[tuple[int, int]]:
+    def pairs_of(block: list[tuple]) -> list[tuple[int, int, int | None]]:
         rest, ask = [x for x in block if not x[3]], [x for x in block if x[3]]
         if not rest or not ask:
             return []
@@ -255,21 +259,21 @@ def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup
             if best and len(left):
                 left, certain = left[[matches.argmax()]], certain[[matches.argmax()]]
             for k, yes in zip(ok[left], certain, strict=True):
-                (sure if yes else unsure).append((x[4], int(doc[k]), x[5], int(comp[k])))
+                (sure if yes and trust else unsure).append((x[4], int(doc[k]), x[5], int(comp[k])))
         out = []
         for a, b, p, q in sure:  # what these join already need not be compared again
             p, q = find(p), find(q)
             if p != q:
                 root[p] = q
-                out.append((a, b))
-        out += [(a, b) for a, b, p, q in unsure if find(p) != find(q)]
-        return [(max(x), min(x)) for x in out]
+                out.append((a, b, block[0][0]))
+        out += [(a, b, None) for a, b, p, q in unsure if find(p) != find(q)]
+        return [(max(a, b), min(a, b), band) for a, b, band in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        give = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1, 2)], names=["a", "b", "relied"])
         key, block = None, []
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, int | None]] = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if row[:3] != key:
                     out += pairs_of(block)
@@ -278,7 +282,7 @@ def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup
             yield give(out)
         yield give(pairs_of(block))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, relied long").distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -306,13 +310,23 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     shared = buckets.where("doc_id != head").groupBy("doc_id", "head").agg(F.count("*").alias("m"))
     first = shared.groupBy("doc_id").agg(F.max(F.struct("m", -F.col("head"))).alias("best")).select(F.col("doc_id").alias("a"), (-F.col("best.col2")).alias("b"))
     labels = written(components(verified(pruned(first, sigs, how), docs, how)), "labels")
-    for best in (True, False):  # what the best pairs join need not be compared in full
-        across = _across(buckets.select("band", "doc_id"), labels, sigs, how, best)
+    left, tested = buckets.select("band", "doc_id"), None
+    for best, trust in ((True, True), (False, True), (False, False)):  # what the best pairs join need not be compared in full
+        across = _across(left, labels, sigs, how, best, trust)
         if across is None:
             break
-        more, found = counted(verified(across, docs, how), "verified")
+        across = written(across, "across")
+        fresh = across if tested is None else across.join(tested, ["a", "b"], "left_anti")
+        more, found = counted(verified(fresh.select("a", "b"), docs, how), "verified")
         if found:
             labels = written(_joined(labels, more), "labels")
+        if best:
+            tested = across.select("a", "b")
+        elif trust:
+            failed, many = counted(across.where("relied is not null").join(more, ["a", "b"], "left_anti").select(F.col("relied").alias("band")).distinct(), "failed")
+            if not many:
+                break
+            tested, left = tested.unionByName(across.select("a", "b")), left.join(failed, "band", "left_semi")
     final = labels
     out = member.join(final, member["rep"] == final["id"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
