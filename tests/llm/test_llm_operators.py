@@ -314,26 +314,80 @@ def test_lines_without_symbols_reach_the_rules(line, rule):
 # 6 --------------------------------------------------------------------------------------------------------
 
 
-def test_mixing(spark, docs, none):
+MIX = mixing.Mix(targets={"good": 0.8, "poor": 0.16, "toxic": 0.04}, penalty=0.1)
+
+
+@pytest.fixture(scope="module")
+def mixable(spark):
+    """200 documents in three plain domains, and labels for most of them."""
     rng = random.Random(4)
     rows = [(k, prose(rng, 40) + (" vile" if k % 10 == 0 else "") + (" ### $$$ ***" * 10 if k % 10 == 1 else "")) for k in range(200)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 10 != 1), int(k % 10 == 0)) for k in range(0, 200, 2)] + [(k, int(k % 10 != 1), 0) for k in range(1, 200, 4)], "doc_id long, quality int, toxic int")
-    how = mixing.Mix(targets={"good": 0.8, "poor": 0.19, "toxic": 0.01})
-    out = mixing.mix(d, labels, how).collect()
+    labels = [(k, int(k % 10 != 1), int(k % 10 == 0)) for k in range(200) if k % 3]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_mixing(spark, docs, none, mixable):
+    d, labels = mixable
+    out = mixing.mix(d, labels, MIX).collect()
     assert len(out) == 200 and all(r.rate >= 0 and abs(r.p_good + r.p_poor + r.p_toxic - 1) < 1e-9 for r in out)
+    assert all(r.n_tokens == len(r.text.split()) for r in out)
     total = {x: sum(r.rate * r.n_tokens * r[f"p_{x}"] for r in out) for x in mixing.DOMAINS}
     budget = sum(r.n_tokens * r.p_good for r in out) / 0.8
-    assert all(abs(total[x] - how.targets[x] * budget) < 0.02 * budget for x in mixing.DOMAINS)
+    assert all(abs(total[x] - MIX.targets[x] * budget) <= 1e-4 * budget for x in mixing.DOMAINS)
     bad = lambda t: np.mean([r.rate for r in out if (r.doc_id % 10 == 0) == t])
     assert bad(True) < 0.5 < bad(False)
-    again = mixing.resampled(mixing.mix(docs, labels, how), docs.columns)
+    # of documents without a label, each domain is told apart
+    held = [r for r in out if r.doc_id % 3 == 0]
+    told = {k: np.mean([max(mixing.DOMAINS, key=lambda x: r[f"p_{x}"]) == want for r in held if want == ("toxic" if r.doc_id % 10 == 0 else "poor" if r.doc_id % 10 == 1 else "good")]) for k, want in enumerate(mixing.DOMAINS)}
+    assert min(told.values()) > 0.8
+    again = mixing.resampled(mixing.mix(docs, labels, MIX), docs.columns)
     assert again.columns == docs.columns
     assert mixing.mix(none, labels).count() == 0
     unlabelled = mixing.mix(docs, labels.limit(0), mixing.Mix(steps=2))
     assert unlabelled.count() == len(fixture_rows()) and unlabelled.where("rate < 0 or rate is null").isEmpty()
 
 
+def test_posteriors_equal_plain_ones(spark, docs, mixable):
+    """Spark's sums over cells against numpy's, and cells against hashes computed alone."""
+    d, labels = mixable
+    model = mixing.learn(d, labels, MIX)
+    every = docs.select("doc_id", "text").unionByName(d)
+    cells = {(r.doc_id, r.n_tokens): r["_cells"] for r in mixing.with_evidence(every, ["doc_id"], MIX).collect()}
+    for r in mixing.with_posteriors(every, model, MIX).collect():
+        words = (r.text or "").split(" ") if r.text and "\n" not in r.text and "\t" not in r.text else None
+        own = np.array(cells[r.doc_id, r.n_tokens])
+        assert len(set(own)) == len(own) and (words is None or r.n_tokens == len([w for w in words if w]))
+        assert np.allclose([r[f"p_{x}"] for x in mixing.DOMAINS], model.probabilities(own), atol=1e-9)
+    # no row of the plan holds the weights, and a moved rate keeps it small
+    mixed = mixing.mix(d, labels, MIX)
+    twelve = mixed.withColumn("rate", mixing.rate([(0.1, 0.2, 0.3)] * 12))
+    assert len(mixing.resampled(twelve, d.columns)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    plan = mixing.with_posteriors(d, model, MIX)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS _w_p_good" not in plan and len(plan) < 20_000
+
+
+@pytest.mark.parametrize("targets", [{"good": 0.8, "poor": 0.19, "toxic": 0.01}, {"good": 0.1, "poor": 0.1, "toxic": 0.8}, {"good": 1.0, "poor": 0.0, "toxic": 0.0}])
+def test_rates_are_least_squares(spark, targets):
+    """Against projected gradient over single documents in numpy, run long; also where no rates can meet the targets."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet((0.4, 0.4, 0.4), 60)
+    p[:, 2] = np.maximum(p[:, 2], 0.05)
+    p /= p.sum(axis=1, keepdims=True)
+    t = rng.integers(1, 50, 60).astype(float)
+    df = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(t, p, strict=True)], "n_tokens long, p_good double, p_poor double, p_toxic double")
+    got = mixing.fit(df, mixing.Mix(targets=targets, budget=2000.0, tolerance=1e-3))
+    want = np.array([targets[d] for d in mixing.DOMAINS]) * 2000
+    step = 1 / np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1]
+    r = np.ones(60)
+    for _ in range(20_000):
+        r = np.maximum(0, r - step * (p @ ((r * t) @ p - want)))
+    least = (((r * t) @ p - want) ** 2).sum()
+    assert ((got.got - want) ** 2).sum() <= least * 1.05 + 25
+    by_rate = [x.r for x in df.select(mixing.rate(got.moves).alias("r")).collect()]
+    assert min(by_rate) >= 0 and np.allclose((np.array(by_rate) * t) @ p, got.got)
+    assert got.met == (np.abs(got.got - want).max() <= 2)
+
+
 # 7 --------------------------------------------------------------------------------------------------------
 
 

@@ -1,21 +1,25 @@
 """Mixing to target weights by soft membership, in DataFrame functions alone.
 
-A naive Bayes classifier, learned from the labelled table, predicts for each document how likely it belongs
-to each domain. Projected-gradient least squares then fits nonnegative rates, one for each document, so that
-the expected tokens of the domains match the targets: a step needs one sum for each domain over all
-documents, and each document moves by its own posteriors and is projected to at least 0.
+A softmax classifier, learned from the labelled table, predicts for each document how likely it belongs to
+each domain. Projected-gradient least squares then fits nonnegative rates, one for each document, so that
+the expected tokens of the domains match the targets: a step needs a few sums over all documents, and each
+document moves by its own posteriors and is projected to at least 0.
 
-The classifier is fitted on at most ``max_labelled`` labelled documents, chosen by a hash of the id, and
-looks at the ``vocabulary`` words that tell most. All else covers all documents.
+The classifier is fitted on at most ``max_labelled`` labelled documents, chosen by a hash of the id; the driver
+gets their evidence, at most as many numbers each as there are cells. All else covers all documents.
 
-Edge cases: a null text is empty and has no tokens; without labels all domains are equally likely; a domain
-that no document can belong to is left at 0; repeated rows get equal rates; an empty table gives none; new
-columns replace those of the same name, and all others are kept.
+A document's evidence is a set of cells: its words in lower case and the ends of its words, hashed, and how
+much its words vary. Each text is split once.
+
+Edge cases: a null text is empty and has no tokens; without labels all domains are equally likely; targets that
+no rates can meet are met as nearly as least squares allow, which ``Fit`` tells; repeated rows get equal rates;
+null ids are no labels; an empty table gives none; new columns replace those of the same name, and all others
+are kept.
 """
 
 from __future__ import annotations
 
-import math
+import logging
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,175 +29,203 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 DOMAINS = ("good", "poor", "toxic")
+_PAIRS = [(a, b) for i, a in enumerate(DOMAINS) for b in DOMAINS[i:]]
 
 
 @dataclass(frozen=True)
 class Mix:
     targets: dict[str, float] = field(default_factory=lambda: {"good": 0.9, "poor": 0.08, "toxic": 0.02})
-    max_labelled: int = 20_000
-    vocabulary: int = 256
-    steps: int = 12
-    #: Steps taken in full; later ones are shortened, so that they settle where projection holds them.
-    full_steps: int = 5
-    #: The fit ends when no domain misses by more than this share of the budget.
+    max_labelled: int = 8_000
+    #: Cells that words, and the ends of words, are hashed to.
+    word_cells: int = 8192
+    end_cells: int = 2048
+    #: Steps and penalty of the classifier.
+    rounds: int = 60
+    penalty: float = 3.0
+    #: The fit ends when no domain misses by more than this share of the budget, or when a step lessens the misses by less than a hundredth of that.
     tolerance: float = 1e-4
+    steps: int = 40
     #: Tokens wanted in all; unset: as many as keep the rate of the domain with the largest target near 1.
     budget: float | None = None
 
+    @property
+    def cells(self) -> int:
+        return self.word_cells + self.end_cells + 8
+
 
 def domain() -> Column:
     """The labelled table's domains."""
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
 
 
-_MARKS = ".,;:!?#$%&*|\"'()"
+def with_evidence(docs: DataFrame, carried: list[str], how: Mix) -> DataFrame:
+    """``carried`` with n_tokens and _cells, the distinct cells of the text. Each step is a column of its own, so that none is computed twice."""
+    split = docs.select(*carried, F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"))
+    told = split.select(
+        *carried, F.size("_words").cast("long").alias("n_tokens"),
+        F.array_distinct(F.transform("_words", lambda w: F.pmod(F.xxhash64(F.lower(w)), F.lit(how.word_cells)).cast("int"))).alias("_of_words"),
+        F.array_distinct(F.transform("_words", lambda w: F.pmod(F.xxhash64(F.substring(w, -3, 3)), F.lit(how.end_cells)).cast("int") + how.word_cells)).alias("_of_ends"),
+    )
+    variety = F.least(F.lit(7), F.floor(8 * F.size("_of_words") / F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int") + (how.word_cells + how.end_cells)
+    return told.select(*carried, "n_tokens", F.concat("_of_words", "_of_ends", F.array(variety)).alias("_cells"))
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+@dataclass(frozen=True)
+class Classifier:
+    """``bias`` for each domain and ``weights`` (domain, cell); no weights: all domains are equally likely."""
+
+    bias: np.ndarray
+    weights: np.ndarray | None
+
+    def probabilities(self, cells: np.ndarray) -> np.ndarray:
+        """Of one document's cells; what ``with_posteriors`` computes in Spark."""
+        if self.weights is None:
+            return np.full(len(DOMAINS), 1 / len(DOMAINS))
+        z = self.bias + self.weights[:, cells].sum(axis=1)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+
+def softmax_regression(cells: list[np.ndarray], y: np.ndarray, how: Mix) -> Classifier:
+    """Penalised maximum likelihood by accelerated steps, each coordinate's scaled by a bound on its curvature."""
+    flat, sizes = np.concatenate(cells), np.array([len(c) for c in cells])
+    at, doc = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(cells)), sizes)
+    k = len(DOMAINS)
+    curvature = 0.5 * np.bincount(flat, weights=sizes[doc], minlength=how.cells) + how.penalty
+    w = np.zeros((how.cells, k))
+    ahead, pace = w, 1.0
+    bias = np.log((np.bincount(y, minlength=k) + 1.0) / (len(y) + k))
+    for _ in range(how.rounds):
+        z = np.add.reduceat(ahead[flat], at, axis=0) + bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        slope = np.column_stack([np.bincount(flat, weights=p[doc, c], minlength=how.cells) for c in range(k)])
+        new = ahead - (slope + how.penalty * ahead) / curvature[:, None]
+        next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, w, pace = new + (pace - 1) / next_pace * (new - w), new, next_pace
+        bias = bias - 2 * p.mean(axis=0)
+    return Classifier(bias, w.T)
 
 
-def plain_words(text: Column) -> Column:
-    """Lower-case words; marks part them too. The first or last may be empty."""
-    return F.split(F.lower(F.translate(text, _MARKS, " " * len(_MARKS))), r"[\x20\x09-\x0D]+")
+def learn(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> Classifier:
+    """From labelled documents; the driver gets the cells of at most ``max_labelled`` of them."""
+    known = labels.where("doc_id is not null").select("doc_id", domain().alias("_domain")).distinct()
+    chosen = known.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "_domain").limit(how.max_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows are sent
+    rows = with_evidence(rows, ["doc_id", "_domain"], how).select("doc_id", "_domain", F.array_join(F.array_sort("_cells"), " ").alias("cells"))
+    got = sorted(map(tuple, rows.dropDuplicates(["doc_id", "_domain"]).collect()))
+    if not got:
+        return Classifier(np.zeros(len(DOMAINS)), None)
+    return softmax_regression([np.array(c.split(), np.int64) for _, _, c in got], np.array([DOMAINS.index(d) for _, d, _ in got]), how)
+
+
+def with_posteriors(docs: DataFrame, classifier: Classifier, how: Mix = Mix()) -> DataFrame:
+    """``docs`` with n_tokens and p_<domain>. The weights are a table of one row, which the plan reads once."""
+    names = [f"p_{d}" for d in DOMAINS]
+    carried = [c for c in docs.columns if c not in {"n_tokens", "rate", *names}]
+    told = with_evidence(docs, carried, how)
+    if classifier.weights is None:
+        return told.select(*carried, "n_tokens", *[F.lit(1.0 / len(DOMAINS)).alias(n) for n in names])
+    as_text = [",".join(map(repr, w.tolist())) for w in classifier.weights]
+    table = written(docs.sparkSession.range(1).select(*[F.split(F.lit(x), ",").cast("array<double>").alias(n) for n, x in zip(names, as_text, strict=True)]), "weights")
+    # the optimiser joins the next two projections, so the weights are read as scalar subqueries and no row holds them
+    told = told.select(*carried, "n_tokens", "_cells", *[table.select(n).scalar().alias(f"_w_{n}") for n in names])
+    start = F.struct(*[F.lit(float(b)).alias(n) for n, b in zip(names, classifier.bias, strict=True)])
+    add = lambda total, cell: F.struct(*[(total[n] + F.get(f"_w_{n}", cell)).alias(n) for n in names])
+    told = told.select(*carried, "n_tokens", F.aggregate("_cells", start, add).alias("_logits"))
+    scored = told.select("*", F.greatest(*[F.col("_logits")[n] for n in names]).alias("_top"))
+    scored = scored.select(*carried, "n_tokens", *[F.exp(F.col("_logits")[n] - F.col("_top")).alias(n) for n in names])
+    total = F.col(names[0]) + F.col(names[1]) + F.col(names[2])
+    return scored.select(*carried, "n_tokens", *[(F.col(n) / total).alias(n) for n in names])
 
 
-def _share(text: Column, letters: str, name: str) -> Column:
-    """The share of these characters, in steps of powers of two, as a word of its own."""
-    n = F.length(text)
-    share = (n - F.length(F.translate(text, letters, ""))) / F.greatest(n, F.lit(1))
-    return F.concat(F.lit(f"\x00{name}"), F.floor(F.log2(share + 0.001)).cast("string"))
+@dataclass(frozen=True)
+class Fit:
+    """The steps, each a move for each domain; tokens wanted and got; whether no miss passes the tolerance."""
 
+    moves: list[tuple[float, ...]]
+    wanted: np.ndarray
+    got: np.ndarray
+    met: bool
 
-def with_evidence(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``carried`` with n_tokens and _evidence: distinct words, and measures of the text as words that no text holds.
 
-    Each step is a column of its own, so that none is computed twice.
-    """
-    full = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select(*carried, n_words(full).alias("n_tokens"), full.alias("_full"), plain_words(full).alias("_words"))
-    kinds = split.select("*", F.array_distinct("_words").alias("_kinds"), F.size("_words").alias("_all"))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    t = F.col("_full")
-    measures = F.array(_share(t, upper, "upper"), _share(t, "#$%&*", "symbols"), _share(t, "|", "bars"), _share(t, "!", "bangs"), _share(t, ".,", "stops"))
-    variety = F.concat(F.lit("\x00variety"), F.floor(4 * F.size("_kinds") / F.greatest(F.col("_all"), F.lit(1))).cast("string"))
-    return kinds.select(*carried, "n_tokens", F.concat(F.col("_kinds"), measures, F.array(variety)).alias("_evidence"))
+def rate(moves: list[tuple[float, ...]], start: Column | None = None) -> Column:
+    """The rate after these steps, from a document's posteriors."""
+    r = F.lit(1.0) if start is None else start
+    for move in moves:
+        r = F.greatest(F.lit(0.0), r - sum((F.lit(float(m)) * F.col(f"p_{d}") for d, m in zip(DOMAINS, move, strict=True)), F.lit(0.0)))
+    return r
 
 
-def _summed(met: Column, table: Column, prior: float) -> Column:
-    return F.aggregate(met, F.lit(prior), lambda s, w: s + F.element_at(table, w))
+def _sums(told: DataFrame, rates: list[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(tokens of each domain, the domains' products over documents with a rate) under each of the rates; one aggregate."""
+    told = told.select("n_tokens", *[f"p_{d}" for d in DOMAINS], *[r.alias(f"r{i}") for i, r in enumerate(rates)])
+    t, p = F.col("n_tokens"), {d: F.col(f"p_{d}") for d in DOMAINS}
+    asked = [F.sum(F.col(f"r{i}") * t * p[d]).alias(f"{i}_{d}") for i in range(len(rates)) for d in DOMAINS]
+    asked += [F.sum(F.when(F.col(f"r{i}") > 0, t * p[a] * p[b])).alias(f"{i}_{a}_{b}") for i in range(len(rates)) for a, b in _PAIRS]
+    row = told.agg(*asked).first()
+    out = []
+    for i in range(len(rates)):
+        gram = np.zeros((len(DOMAINS), len(DOMAINS)))
+        for a, b in _PAIRS:
+            gram[DOMAINS.index(a), DOMAINS.index(b)] = gram[DOMAINS.index(b), DOMAINS.index(a)] = float(row[f"{i}_{a}_{b}"] or 0.0)
+        out.append((np.array([float(row[f"{i}_{d}"] or 0.0) for d in DOMAINS]), gram))
+    return out
 
 
-@dataclass(frozen=True)
-class Classifier:
-    prior: dict[str, float]
-    #: word: log likelihood for each domain, in the order of DOMAINS.
-    weights: dict[str, tuple[float, ...]]
-
-    def posteriors(self, evidence: Column) -> list[Column]:
-        """For each domain; ``evidence`` should be a column of its own, as it is used more than once."""
-        if not self.weights:
-            return [F.lit(1.0 / len(DOMAINS)) for _ in DOMAINS]
-        keys = F.array(*[F.lit(w) for w in self.weights])
-        met = F.array_intersect(evidence, keys)
-        logs = []
-        for k, d in enumerate(DOMAINS):
-            table = F.map_from_arrays(keys, F.array(*[F.lit(v[k]) for v in self.weights.values()]))
-            logs.append(_summed(met, table, self.prior[d]))
-        top = F.greatest(*logs)
-        exps = [F.exp(x - top) for x in logs]
-        total = exps[0]
-        for x in exps[1:]:
-            total = total + x
-        return [x / total for x in exps]
-
+def fit(posteriors: DataFrame, how: Mix = Mix()) -> Fit:
+    """Rates that minimise the squared misses of the domains' tokens, by projected gradient from rates of 1.
 
-def learn(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> Classifier:
-    """From labelled documents; the driver gets the chosen words' counts."""
-    chosen = labels.select("doc_id", domain().alias("domain")).distinct().orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "domain").limit(how.max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows
-    rows = written(with_evidence(rows, ["domain"]).select("domain", F.col("_evidence").alias("e")), "labelled")
-    size = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
-    total = sum(size.values())
-    if not total:
-        return Classifier({d: 0.0 for d in DOMAINS}, {})
-    seen = rows.select("domain", F.explode("e").alias("word")).groupBy("word").agg(*[F.sum((F.col("domain") == d).cast("int")).alias(d) for d in DOMAINS])
-    # how much knowing whether the word is there tells of the domain
-    p = lambda d: (F.col(d) + 0.5) / (size.get(d, 0) + 1.0)
-    mean = sum(((F.col(d)) for d in DOMAINS[1:]), F.col(DOMAINS[0])) / total
-    gain = sum((size.get(d, 0) / total * (p(d) * F.log(p(d) / (mean + 1e-9)) + (1 - p(d)) * F.log((1 - p(d)) / (1 - mean + 1e-9))) for d in DOMAINS), F.lit(0.0))
-    top = seen.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(how.vocabulary).collect()
-    weights = {r["word"]: tuple(math.log((r[d] + 0.5) / (size.get(d, 0) + 1.0)) for d in DOMAINS) for r in sorted(top, key=lambda r: r["word"])}
-    return Classifier({d: math.log((size.get(d, 0) + 1.0) / (total + len(DOMAINS))) for d in DOMAINS}, weights)
-
-
-def with_posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``docs`` with n_tokens and p_<domain>."""
-    carried = [c for c in docs.columns if c not in {"n_tokens", "rate", *[f"p_{d}" for d in DOMAINS]}]
-    told = with_evidence(docs, carried)
-    return told.select("*", *[p.alias(f"p_{d}") for d, p in zip(DOMAINS, classifier.posteriors(F.col("_evidence")), strict=True)]).drop("_evidence")
-
-
-def fit(posteriors: DataFrame, how: Mix = Mix()) -> tuple[list[dict[str, float]], dict[str, float]]:
-    """The steps taken, each a move for each domain, and the targets in tokens.
-
-    Minimises the squared misses of the domains over all rates. The gradient, one number for each domain, is scaled
-    by the inverse of the domains' products over the documents that still have a rate, and divided by a document's
-    tokens, so a step without projection would meet the targets at once. Each step is one aggregate over all
-    documents; the driver gets nine sums.
+    In the metric that weighs a document by its tokens, a step moves each rate by its posteriors times the misses.
+    Divided by the largest eigenvalue of the domains' products over all documents, such a step never raises the
+    sum of squares. Each round also tries longer steps, scaled by the damped inverse of the products over the
+    documents that still have a rate, and takes the best of all; so the sum of squares falls in each round.
+    A round is one aggregate over all documents.
     """
-    start = posteriors.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
-    have = {d: float(start[d] or 0.0) for d in DOMAINS}
-    lead = max(DOMAINS, key=lambda d: how.targets.get(d, 0.0))
-    budget = how.budget if how.budget is not None else have[lead] / max(how.targets.get(lead, 0.0), 1e-9)
-    wanted = {d: how.targets.get(d, 0.0) * budget for d in DOMAINS}
-    moves: list[dict[str, float]] = []
-    pairs = [(a, b) for i, a in enumerate(DOMAINS) for b in DOMAINS[i:]]
-    for step in range(how.steps):
-        r, t = rate(moves), F.col("n_tokens")
-        p = {d: F.col(f"p_{d}") for d in DOMAINS}
-        told = posteriors.select("n_tokens", *p.values(), r.alias("r"))
-        now = told.agg(*[F.sum(F.col("r") * t * p[d]).alias(d) for d in DOMAINS], *[F.sum(F.when(F.col("r") > 0, t * p[a] * p[b])).alias(f"{a}_{b}") for a, b in pairs]).first()
-        miss = np.array([float(now[d] or 0.0) - wanted[d] for d in DOMAINS])
-        if np.abs(miss).max() <= how.tolerance * max(budget, 1e-9):
+    (have, gram), = _sums(posteriors, [F.lit(1.0)])
+    target = np.array([how.targets.get(d, 0.0) for d in DOMAINS])
+    lead = int(target.argmax())
+    budget = how.budget if how.budget is not None else have[lead] / max(target[lead], 1e-9)
+    wanted = target * budget
+    steepest = max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300)
+    moves: list[tuple[float, ...]] = []
+    got, met, enough = have, False, how.tolerance * max(budget, 1e-9)
+    for _ in range(how.steps):
+        miss = got - wanted
+        met = bool(np.abs(miss).max() <= enough)
+        if met:
             break
-        gram = np.zeros((len(DOMAINS), len(DOMAINS)))
-        for a, b in pairs:
-            gram[DOMAINS.index(a), DOMAINS.index(b)] = gram[DOMAINS.index(b), DOMAINS.index(a)] = float(now[f"{a}_{b}"] or 0.0)
-        scaled = np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(len(DOMAINS)), miss, rcond=1e-12)[0]
-        moves.append(dict(zip(DOMAINS, (scaled * (1.0 if step < how.full_steps else 0.6)).tolist(), strict=True)))
-    return moves, wanted
-
-
-def rate(moves: list[dict[str, float]]) -> Column:
-    """The rate after these steps, from a document's posteriors."""
-    r = F.lit(1.0)
-    for move in moves:
-        r = F.greatest(F.lit(0.0), r - sum((F.lit(m) * F.col(f"p_{d}") for d, m in move.items()), F.lit(0.0)))
-    return r
+        damped = [np.linalg.lstsq(gram + s * np.trace(gram) * np.eye(len(DOMAINS)), miss, rcond=1e-12)[0] for s in (1e-12, 1e-3, 1e-2, 1e-1)]
+        tries = [miss / steepest, *damped]
+        now = rate(moves).alias("_rate")
+        sums = _sums(posteriors.select("*", now), [rate([tuple(x)], F.col("_rate")) for x in tries])
+        squares = [float(((g - wanted) ** 2).sum()) for g, _ in sums]
+        best = int(np.argmin(squares))
+        moves.append(tuple(tries[best].tolist()))
+        got, gram = sums[best]
+        if np.sqrt((miss**2).sum()) - np.sqrt(squares[best]) < 0.01 * enough:
+            met = bool(np.abs(got - wanted).max() <= enough)
+            break  # least squares, though perhaps short of the targets
+    if not met:
+        logging.getLogger(__name__).warning("targets %s are met as %s only", wanted.tolist(), got.tolist())
+    return Fit(moves, wanted, got, met)
 
 
 def mix(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """``docs`` with n_tokens, the posteriors and the fitted rate.
-
-    The posteriors are computed again in the last pass, which spares an exchange of the texts.
-    """
-    classifier = learn(docs, labels, how)
-    told = with_posteriors(docs, classifier)
-    small = written(told.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS]), "posteriors")
-    moves, _ = fit(small, how)
-    return told.withColumn("rate", rate(moves))
+    """``docs`` with n_tokens, the posteriors and the fitted rate. Posteriors are computed once, and written with the documents."""
+    told = written(with_posteriors(docs, learn(docs, labels, how), how), "posteriors")
+    return told.withColumn("rate", rate(fit(told, how).moves))
 
 
 def rates(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """(doc_id, n_tokens, posteriors, rate) of every document, from posteriors computed once."""
-    told = with_posteriors(docs.select("doc_id", "text"), learn(docs, labels, how))
-    small = written(told.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS]), "posteriors")
-    return small.withColumn("rate", rate(fit(small, how)[0]))
+    """(doc_id, n_tokens, posteriors, rate) of every document."""
+    told = written(with_posteriors(docs.select("doc_id", "text"), learn(docs, labels, how), how).drop("text"), "posteriors")
+    return told.withColumn("rate", rate(fit(told, how).moves))
 
 
 def resampled(mixed: DataFrame, columns: list[str], salt: str = "mix") -> DataFrame:
-    """Each document as many times as its rate says: the whole part, and one more as often as the rest says, by a hash of the id."""
-    chance = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(salt))) / F.lit(float(1 << 32))
+    """Each document as many times as its rate says: the whole part, and one more as often as the rest says, by a hash of id and text."""
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 32)) / F.lit(float(1 << 32))
     copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
-    return mixed.withColumn("_n", F.coalesce(copies, F.lit(1))).where("_n > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select(*columns)
+    return mixed.select(*columns, copies.alias("_n")).where("_n > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select(*columns)
