@@ -8,16 +8,18 @@
    that its similarity reaches the threshold is below the chosen miss probability.
 4. What is left is verified on the full sets, and components are drawn.
 5. Buckets that still hold several components are compared across them: the members outside a bucket's largest
-   component against all, in blocks, on signatures alone. First each member's best pair is verified, and components
-   are drawn again; then all survivors that still lie across, without those that pairs as good as linked would
-   join. Buckets in which such a pair fails on the full sets are compared once more, and nothing is left out. So
-   no candidate pair goes untested unless its ends are linked already.
+   component against all, in blocks. A first pass compares signatures alone and names the members with a pair
+   that is not dropped. A second pass brings those members' full sets to their blocks and verifies there. A
+   block gives out only links that join what its verified links have not joined yet, so at most one for each
+   of its members, however many pairs it tests. A pair that shares several bands is tested in the first of them.
 
-The bands miss a pair at the threshold with a probability of (1 - 0.8^4)^24, or 3 in a million.
+So no candidate pair goes untested unless verified links join its ends already. The bands miss a pair at the
+threshold with a probability of (1 - 0.8^4)^24, or 3 in a million.
 
 Edge cases: a null text, or one without words, has an empty set and is linked with nothing; one with fewer
 words than a shingle has its whole sequence as one; repeated texts are one class; repeated ids give repeated
-rows; an empty table gives none; further columns are ignored.
+rows, and texts of one id are linked with each other; a row with a null id has a null component and is kept,
+and nothing is linked through it; an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,10 +48,11 @@ class NearDup:
     hashes: int = 128
     batch: int = 32
     miss: float = 1e-6
-    #: A pair is as good as linked if the posterior that it is not is at most this.
-    doubt: float = 1e-4
-    #: Members of a bucket compared at a time.
+    #: Members of a bucket compared at a time; long documents count as several.
     block: int = 1024
+    long: int = 2048
+    #: Pairs of one member verified at a time, those with most matches first.
+    chunk: int = 32
     #: Documents verified against one head in a task's group.
     salted: int = 500
     #: Bytes up to which a table of pairs is sent to all executors; larger ones are joined by exchange.
@@ -102,8 +105,8 @@ def minhashes(keys: np.ndarray, how: NearDup) -> np.ndarray:
 
 
 @lru_cache(4)
-def least_matches(how: NearDup) -> list[tuple[int, int, int]]:
-    """(hashes compared, matches below which a pair is dropped, matches from which it is as good as linked).
+def least_matches(how: NearDup) -> list[tuple[int, int]]:
+    """(hashes compared, matches below which a pair is dropped).
 
     Signatures hold one byte of each hash, so hashes of different values match once in 256. The similarity's
     prior is uniform.
@@ -117,19 +120,18 @@ def least_matches(how: NearDup) -> list[tuple[int, int, int]]:
         log = m * np.log(q) + (n - m) * np.log1p(-q)
         p = np.exp(log - log.max(axis=1, keepdims=True))
         tail = p[:, over].sum(axis=1) / p.sum(axis=1)
-        out.append((n, int(np.argmax(tail >= how.miss)), int(np.argmax(tail >= 1 - how.doubt)) if tail[-1] >= 1 - how.doubt else n + 1))
+        out.append((n, int(np.argmax(tail >= how.miss))))
     return out
 
 
-def surviving(a: np.ndarray, b: np.ndarray, how: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows that no batch drops, whether they are as good as linked, their matches) of two arrays of signatures, row by row."""
+def surviving(a: np.ndarray, b: np.ndarray, how: NearDup) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that no batch drops, their matches) of two arrays of signatures, row by row."""
     left, done, matches = np.arange(len(a)), 0, np.zeros(len(a), np.int64)
-    sure = 0
-    for n, least, sure in least_matches(how):
+    for n, least in least_matches(how):
         matches = matches + (a[left, done:n] == b[left, done:n]).sum(axis=1)
         keep = matches >= least
         left, matches, done = left[keep], matches[keep], n
-    return left, matches >= sure, matches
+    return left, matches
 
 
 def profiles(docs: DataFrame, how: NearDup) -> DataFrame:
@@ -217,72 +219,130 @@ def verified(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
     return rows.select("b", "salt", "a", "text").mapInArrow(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, how: NearDup, best: bool, trust: bool) -> DataFrame | None:
-    """Pairs (a, b, relied) that share a bucket, lie in different components and are not dropped by their signatures; None if no bucket has such.
-
-    ``best``: of each member that asks only the pair with most matches in a block. ``trust``: leave out what pairs
-    as good as linked would join; ``relied`` is the bucket in which such a pair stands for others, else null.
-    """
-    told = buckets.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    told = written(told, "told")
-    parts = told.groupBy("band", "component").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top")).where("parts > 1")
-    mixed = mixed.select("band", F.col("top.component").alias("top"), F.ceil(F.col("all") / how.block).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("top.m")) / how.block).cast("int").alias("nq"))
-    members = told.join(mixed, "band").join(sigs.select("doc_id", "n", "sig"), "doc_id")
-    members, many = counted(members.select("band", "doc_id", "component", (F.col("component") != F.col("top")).alias("minor"), "nb", "nq", "n", "sig"), "members")
-    if not many:
-        return None
-    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    hashed = F.xxhash64("doc_id", F.lit(1))
-    base = members.select("band", to(F.col("nq")).alias("q"), F.pmod(hashed, F.col("nb")).cast("int").alias("c"), F.lit(0).alias("asks"), "doc_id", "component", "n", "sig")
-    asks = members.where("minor").select("band", F.pmod(hashed, F.col("nq")).cast("int").alias("q"), to(F.col("nb")).alias("c"), F.lit(1).alias("asks"), "doc_id", "component", "n", "sig")
-    rows = base.unionByName(asks).repartition(shuffle_parts(buckets.sparkSession), "band", "q", "c").sortWithinPartitions("band", "q", "c", "asks", "doc_id")
-
-    def pairs_of(block: list[tuple]) -> list[tuple[int, int, int | None]]:
-        rest, ask = [x for x in block if not x[3]], [x for x in block if x[3]]
-        if not rest or not ask:
-            return []
-        column = lambda rows, k: np.array([x[k] for x in rows], np.int64)
-        doc, comp, n = (column(rest, k) for k in (4, 5, 6))
-        sig = np.frombuffer(b"".join(x[7] for x in rest), np.uint8).reshape(-1, how.hashes)
+def common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of ``own``'s hashes each of the others holds; all sorted and distinct, none empty."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(own, flat)
+    at[at == len(own)] = 0
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]])
+    return np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+
+
+class _Block:
+    """Members of one block of one bucket: ``rest`` to be compared with, ``ask`` that ask. Rows as ``_compared`` deals them."""
+
+    def __init__(self, rows: list[tuple], how: NearDup):
+        self.how, self.band = how, rows[0][0]
+        self.rest, self.ask = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+        column = lambda k, kind=np.int64: np.array([r[k] for r in self.rest], kind)
+        self.doc, self.component, self.minor, self.n = column(4), column(5), column(6, bool), column(7)
+        self.sig = np.frombuffer(b"".join(r[8] for r in self.rest), np.uint8).reshape(-1, how.hashes)
+        self.bands = np.array([r[9] for r in self.rest], np.int64).reshape(-1, how.bands)
+
+    def candidates(self, x: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``rest``, matches) of the pairs of one asker that this block has to test."""
+        how = self.how
+        # of two askers the one with the larger id asks
+        ok = np.flatnonzero((self.component != x[5]) & (100 * np.minimum(self.n, x[7]) >= how.percent * np.maximum(self.n, x[7])) & ~(self.minor & (self.doc > x[4])))
+        left, matches = surviving(self.sig[ok], np.broadcast_to(np.frombuffer(x[8], np.uint8), (len(ok), how.hashes)), how)
+        ok, own = ok[left], np.array(x[9], np.int64)
+        before = int(np.flatnonzero(own == self.band)[0])
+        first = ~(self.bands[ok, :before] == own[:before]).any(axis=1)
+        return ok[first], matches[first]
+
+    def marked(self) -> set[int]:
+        """Members with a pair to be verified."""
+        out: set[int] = set()
+        for x in self.ask if self.rest else ():
+            at, _ = self.candidates(x)
+            if len(at):
+                out.add(x[4])
+                out.update(self.doc[at].tolist())
+        return out
+
+    def links(self) -> list[tuple[int, int]]:
+        """Verified links between components that no earlier ones have joined."""
+        sets = [np.frombuffer(r[10], np.uint64) for r in self.rest]
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
             while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
                 x = root[x]
             return x
 
-        sure, unsure = [], []
-        for x in ask:
-            ok = np.flatnonzero((comp != x[5]) & (100 * np.minimum(n, x[6]) >= how.percent * np.maximum(n, x[6])))
-            left, certain, matches = surviving(sig[ok], np.broadcast_to(np.frombuffer(x[7], np.uint8), (len(ok), how.hashes)), how)
-            if best and len(left):
-                left, certain = left[[matches.argmax()]], certain[[matches.argmax()]]
-            for k, yes in zip(ok[left], certain, strict=True):
-                (sure if yes and trust else unsure).append((x[4], int(doc[k]), x[5], int(comp[k])))
         out = []
-        for a, b, p, q in sure:  # what these join already need not be compared again
-            p, q = find(p), find(q)
-            if p != q:
-                root[p] = q
-                out.append((a, b, block[0][0]))
-        out += [(a, b, None) for a, b, p, q in unsure if find(p) != find(q)]
-        return [(max(a, b), min(a, b), band) for a, b, band in out]
+        for x in self.ask if self.rest else ():
+            at, matches = self.candidates(x)
+            at, own = at[np.argsort(-matches, kind="stable")].tolist(), np.frombuffer(x[10], np.uint64)
+            while at:
+                at = [k for k in at if find(int(self.component[k])) != find(x[5])]
+                some, at = at[: self.how.chunk], at[self.how.chunk :]
+                for k, shared in zip(some, common(own, [sets[k] for k in some]) if some else (), strict=True):
+                    p, q = find(int(self.component[k])), find(x[5])
+                    if p != q and 100 * shared >= self.how.percent * (len(own) + len(sets[k]) - shared):
+                        root[p] = q
+                        out.append((max(x[4], int(self.doc[k])), min(x[4], int(self.doc[k]))))
+        return out
+
+
+def _compared(members: DataFrame, how: NearDup) -> DataFrame:
+    """Deals members (band, doc_id, component, minor, n, sig, bands, perhaps set) to blocks. Without sets: marks (band, doc_id). With sets: links (a, b)."""
+    full = "set" in members.columns
+    weight = 1 + F.col("n") / how.long
+    sizes = members.groupBy("band").agg(F.ceil(F.sum(weight) / how.block).cast("int").alias("nb"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("minor"), weight)) / how.block).cast("int")).alias("nq"))
+    told, hashed = members.join(sizes, "band"), F.xxhash64("doc_id", F.lit(1))
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    carried = ["doc_id", "component", "minor", "n", "sig", "bands", *["set"] * full]
+    rest = told.select("band", to(F.col("nq")).alias("q"), F.pmod(hashed, F.col("nb")).cast("int").alias("c"), F.lit(0).alias("asks"), *carried)
+    asks = told.where("minor").select("band", F.pmod(hashed, F.col("nq")).cast("int").alias("q"), to(F.col("nb")).alias("c"), F.lit(1).alias("asks"), *carried)
+    rows = rest.unionByName(asks).repartition(shuffle_parts(members.sparkSession), "band", "q", "c").sortWithinPartitions("band", "q", "c", "asks", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1, 2)], names=["a", "b", "relied"])
+        def told(block: list[tuple]) -> list[tuple[int, int]]:
+            if not block:
+                return []
+            own = _Block(block, how)
+            return own.links() if full else [(own.band, doc) for doc in sorted(own.marked())]
+
+        give = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["x", "y"])
         key, block = None, []
         for batch in batches:
-            out: list[tuple[int, int, int | None]] = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            out: list[tuple[int, int]] = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
                 if row[:3] != key:
-                    out += pairs_of(block)
+                    out += told(block)
                     key, block = row[:3], []
                 block.append(row)
             yield give(out)
-        yield give(pairs_of(block))
+        yield give(told(block))
+
+    return rows.mapInArrow(run, "x long, y long").toDF(*(("a", "b") if full else ("band", "doc_id")))
+
+
+def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame | None:
+    """Verified links (a, b) that join the components in each bucket; None if no bucket holds several components or no pair stands."""
+    told = written(buckets.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "told")
+    parts = told.groupBy("band", "component").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component")).alias("top")).where("parts > 1").select("band", F.col("top.component").alias("top"))
+    members = told.join(mixed, "band").join(reps, "doc_id").select("band", "doc_id", "component", (F.col("component") != F.col("top")).alias("minor"), "n", "sig", "bands")
+    members, many = counted(members, "members")
+    if not many:
+        return None
+    marks, many = counted(_compared(members, how).distinct(), "marks")
+    if not many:
+        return None
+    named = written(marks.select("doc_id").distinct(), "named")
+    near = F.broadcast if fits(named, how.broadcast) else (lambda df: df)
+    sets = docs.select("doc_id", "text").join(near(named), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(text, how.shingle) for text in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["doc_id", "n", "set"])
 
-    return rows.mapInArrow(run, "a long, b long, relied long").distinct()
+    sets = written(sets.mapInArrow(run, "doc_id long, n long, set binary").dropDuplicates(["doc_id", "n"]), "sets")
+    return _compared(members.join(marks, ["band", "doc_id"]).join(sets, ["doc_id", "n"]), how)
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,37 +357,25 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; the smallest id of a component is kept."""
-    all_docs = written(profiles(docs, how), "profiles")
-    classes = all_docs.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    member = all_docs.select("doc_id", "n", "key").join(classes, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    # of repeated rows with the smallest id one is enough
-    firsts = all_docs.join(classes, "key").where(F.col("doc_id") == F.col("rep")).dropDuplicates(["key"])
+    all_docs, many = counted(profiles(docs, how), "profiles")
+    classes = written(all_docs.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    # sets that many documents share are few, so they are sent to all tasks; those of all others are exchanged
+    hot = F.broadcast(classes.where(F.col("copies") > many / (8 * shuffle_parts(docs.sparkSession))).select("key", "rep"))  # fewer than 8 for each partition
+    plain = all_docs.select("doc_id", "n", "key")
+    member = plain.join(hot, "key").unionByName(plain.join(hot, "key", "left_anti").join(classes.select("key", "rep"), "key", "left"))
+    firsts = all_docs.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
     reps = written(firsts.select("doc_id", "n", "bands", "sig"), "reps")
-    sigs = reps.select("doc_id", "n", "sig")
     bands = reps.select(F.explode("bands").alias("band"), "doc_id")
     heads = written(bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m"), "heads")
     buckets = written(bands.join(heads, "band"), "buckets")
     shared = buckets.where("doc_id != head").groupBy("doc_id", "head").agg(F.count("*").alias("m"))
     first = shared.groupBy("doc_id").agg(F.max(F.struct("m", -F.col("head"))).alias("best")).select(F.col("doc_id").alias("a"), (-F.col("best.col2")).alias("b"))
-    labels = written(components(verified(pruned(first, sigs, how), docs, how)), "labels")
-    left, tested = buckets.select("band", "doc_id"), None
-    for best, trust in ((True, True), (False, True), (False, False)):  # what the best pairs join need not be compared in full
-        across = _across(left, labels, sigs, how, best, trust)
-        if across is None:
-            break
-        across = written(across, "across")
-        fresh = across if tested is None else across.join(tested, ["a", "b"], "left_anti")
-        more, found = counted(verified(fresh.select("a", "b"), docs, how), "verified")
+    labels = written(components(verified(pruned(first, reps.select("doc_id", "n", "sig"), how), docs, how)), "labels")
+    across = _across(buckets.select("band", "doc_id"), labels, reps, docs, how)
+    if across is not None:
+        more, found = counted(across.distinct(), "across")
         if found:
             labels = written(_joined(labels, more), "labels")
-        if best:
-            tested = across.select("a", "b")
-        elif trust:
-            failed, many = counted(across.where("relied is not null").join(more, ["a", "b"], "left_anti").select(F.col("relied").alias("band")).distinct(), "failed")
-            if not many:
-                break
-            tested, left = tested.unionByName(across.select("a", "b")), left.join(failed, "band", "left_semi")
-    final = labels
-    out = member.join(final, member["rep"] == final["id"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = member.join(labels, member["rep"] == labels["id"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
