@@ -1,8 +1,13 @@
 """URL filter: rules first, then link-graph propagation between hosts.
 
-Hosts that the allow rules cover are trusted seeds, hosts that the block rules cover are blocked seeds.
-Personalised PageRank carries trust along the links and distrust against them. A host without a rule is
-blocked if its distrust passes a threshold and its trust.
+A host is a trusted seed by the share of its pages that the rules allow, and a blocked seed by the share that
+they block; a host that is linked to but has no page counts as its root page. Personalised PageRank carries
+trust along the links from the trusted seeds, and distrust against them from the blocked ones. Beside both runs
+a PageRank that starts from every host alike. A host's trust is the share of what flows to it in that which
+comes from trusted seeds, and its distrust likewise; so neither depends on how many links a seed has, nor on how
+many seeds there are. (Rank that hosts without links would return to the seeds scales all scores alike and
+leaves the shares as they are.) A page without a rule is blocked if its host's distrust passes a threshold and
+the host's trust.
 
 Edges are counted for each pair of hosts before any exchange, so a very common host costs one row for each
 of its neighbours, and scores are summed partially before they are exchanged. All steps are DataFrame
@@ -45,8 +50,8 @@ class Propagation:
     damping: float = 0.85
     rounds: int = 12
     rounds_in_a_plan: int = 4
-    #: Distrust at which a host is blocked, as a multiple of an even share of a seed's score.
-    threshold: float = 0.2
+    #: Distrust, from 0 to 1, at which a host is blocked.
+    threshold: float = 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -75,31 +80,40 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, how: Propagation) -> DataFrame:
-    """(host, trust, distrust) from seeds (kind, host), kind ``trust`` or ``distrust``; scores are multiples of 1 / number of seeds."""
-    ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n").unionByName(
-        edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n")
-    )
+    """(host, trust, distrust), each from 0 to 1, from seeds (host, trust, distrust); every host of the edges must be among the seeds.
+
+    Kinds of score: ``trust`` and ``ahead`` follow the links, ``distrust`` and ``back`` go against them.
+    """
+    kinds = {"trust": ("src", "dst"), "ahead": ("src", "dst"), "distrust": ("dst", "src"), "back": ("dst", "src")}
+    ways = edges.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(a).alias("from"), F.col(b).alias("to"), "n") for k, (a, b) in kinds.items()])).alias("w")).select("w.*")
     out = ways.groupBy("kind", "from").agg(F.sum("n").alias("all"))
     ways = written(ways.join(out, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("all")).alias("w")), "ways")
-    start = written(seeds.select("kind", "host", F.lit(1.0).alias("score")), "seeds")
-    score = start
+    starts = [F.struct(F.lit(k).alias("kind"), x.alias("score")) for k, x in (("trust", F.col("trust")), ("distrust", F.col("distrust")), ("ahead", F.lit(1.0)), ("back", F.lit(1.0)))]
+    start = written(seeds.select("host", F.explode(F.array(*starts)).alias("s")).select("s.kind", "host", "s.score").where("score > 0"), "seeds")
+    # what has reached a host so far, its own start left out
+    score, flow = start.withColumn("score", F.col("score") * (1 - how.damping)), None
     for k in range(how.rounds):
-        moved = ways.join(score.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("w") * how.damping).alias("score"))
-        score = moved.unionByName(start.withColumn("score", F.lit(1 - how.damping))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        moved = ways.join(score.withColumnRenamed("host", "from"), ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("w") * how.damping).alias("score"))
+        flow = moved
         if (k + 1) % how.rounds_in_a_plan == 0:
-            score = written(score, "score")
-    side = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
-    return score.groupBy("host").agg(side("trust"), side("distrust"))
+            flow = written(flow, "score")
+        score = flow.unionByName(start.withColumn("score", F.col("score") * (1 - how.damping))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+    side = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
+    share = lambda a, b: F.when(side(b) > 0, F.least(side(a) / side(b), F.lit(1.0))).otherwise(0.0).alias(a)
+    return flow.groupBy("host").agg(share("trust", "ahead"), share("distrust", "back"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], how: Propagation = Propagation()) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules, lambda r: r.text)).withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules, lambda r: r.verdict))
-    seen = ruled.where("host != '' and by_rule is not null").groupBy("host").agg(F.max((F.col("by_rule") == "block").cast("int")).alias("bad"))
-    seeds = seen.select(F.when(F.col("bad") == 1, "distrust").otherwise("trust").alias("kind"), "host")
-    scores = written(propagate(host_edges(ruled), seeds, how), "hosts")
-    bad = (F.coalesce(F.col("distrust"), F.lit(0.0)) >= how.threshold * (1 - how.damping)) & (F.col("distrust") > F.coalesce(F.col("trust"), F.lit(0.0)))
+    edges = written(host_edges(ruled), "edges")
+    crawled = ruled.where("host != ''").groupBy("host").agg(*[F.avg((F.coalesce("by_rule", F.lit("")) == v).cast("double")).alias(k) for k, v in (("trust", "allow"), ("distrust", "block"))])
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct().join(crawled.select("host"), "host", "left_anti")
+    at_root = rule_of(F.col("host"), F.lit("/"), rules, lambda r: r.verdict)
+    linked = linked.select("host", *[F.coalesce((at_root == v).cast("double"), F.lit(0.0)).alias(k) for k, v in (("trust", "allow"), ("distrust", "block"))])
+    scores = written(propagate(edges, crawled.unionByName(linked), how), "hosts")
+    bad = (F.col("distrust") >= how.threshold) & (F.col("distrust") > F.col("trust"))
     return ruled.drop("html").join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
