@@ -17,8 +17,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = sketch.with_sketch(docs, "text", "sketch")
-    pairs = sketch.with_next(own.withColumn("carried", F.struct("text", "sketch")).select("doc_id", "text", "sketch", "carried"), "carried").drop("carried")
+    sketched = lambda df: sketch.with_sketch(df, "text", "sketch").withColumn("carried", F.struct("text", "sketch"))
+    pairs = sketch.with_next(docs, "carried", sketched).drop("carried")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next.text"), F.lit(1), half))
@@ -59,9 +59,9 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    langs, profile = langid.prototypes(langid.learn(docs, remainder(F.col("doc_id"), 5) != 0))
+    langs, profile = langid.prototypes(langid.learn(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 0, F.lit(True))))
     out = langid.identify(docs, langs, profile)
-    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 URL_RULES = [urls.Rule("allow", "org/"), urls.Rule("block", "example.org/es/"), urls.Rule("block", "example.org/en/1"), urls.Rule("allow", "com/fr/"), urls.Rule("block", "com/de/")]
