@@ -1,11 +1,12 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with a CRF on top.
 
 The network is trained in numpy from labelled spans (``labelled_spans``): sentences of drawn words with
-numbers and addresses in many spellings, those that are personal data labelled. It is decoded over windows
+numbers, addresses and access tokens in many spellings, those that are personal data labelled. No pattern looks
+for tokens: they are the network's alone. It is decoded over windows
 that overlap by half; each character takes its label from the window that it lies deepest in, and spans are
 read off the whole text, so none is cut at a window's edge.
 
-A span that is ``plausible`` holds a digit, an at sign, or "at" after a bracket. So windows without any, whose
+A span that is ``plausible`` holds a digit, an at sign, or "at" in brackets. So windows without any, whose
 neighbours have none either, are decoded only if a span runs on into them; the result is the same. Spans of the network must hold what their kind demands
 (``plausible``), and do not touch what the patterns have found, or have judged as their own kind and dropped.
 
@@ -28,7 +29,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import as_bytes
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the patterns find too; the network adds the last.
+PATTERNS = ("email", "ip", "card", "phone")
+KINDS = (*PATTERNS, "secret")
 Span = tuple[int, int, str]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,9 +92,11 @@ def plausible(found: str, kind: str) -> bool:
     if kind == "ip":
         parts = re.split(r"\.|\[\.\]", found)
         return len(parts) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)
+    if kind == "secret":
+        return bool(re.fullmatch(r"[A-Za-z0-9_+/-]{20,}={0,2}", found)) and bool(digits) and bool(re.search("[A-Za-z]", found))
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 ./-]", found)
-    return 10 <= len(digits) <= 15 and bool(re.search(r"[ ().-]", found)) and not re.search(r"[^0-9 ().+/-]", found) and found[0] in "0(+"
+    return 10 <= len(digits) <= 15 and bool(re.search(r"[ ()./-]", found)) and not re.search(r"[^0-9 ().+/-]", found) and found[0] in "0(+"
 
 
 # --- the network -----------------------------------------------------------------------------------------
@@ -103,12 +108,12 @@ _SIZE = 100
 
 @dataclass(frozen=True)
 class Training:
-    sentences: int = 1200
+    sentences: int = 2000
     length: int = 96
-    epochs: int = 7
+    epochs: int = 8
     batch: int = 64
     embedding: int = 12
-    hidden: int = 16
+    hidden: int = 24
     rate: float = 0.012
     seed: int = 11
 
@@ -150,24 +155,32 @@ def labelled_spans(how: Training) -> list[tuple[str, list[Span]]]:
             )
         )
 
+    def secret() -> str:
+        letters = pick(("0123456789abcdef", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+        body = pick(("", "", "sk-", "ghp_")) + "".join(pick(letters) for _ in range(int(rng.integers(28, 45))))
+        return body.upper() if rng.random() < 0.15 else body
+
     def other() -> str:
         return pick(
             (
+                "".join(pick("0123456789abcdef") for _ in range(8)), word() + word() + word() + word(),
                 digits(int(rng.integers(1, 7))), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{digits(3)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}",
                 digits(20), f"@{word()}", f"{word()}{digits(2)}{word()}", f"{word()}={digits(3)}ab{digits(2)}f{digits(4)}", f"#{digits(3)}", f"{digits(3)} {digits(3)}",
             )
         )
 
-    make = {"email": email, "ip": ip, "card": card, "phone": phone}
+    make = {"email": email, "ip": ip, "card": card, "phone": phone, "secret": secret}
     out = []
     for _ in range(how.sentences):
         text, spans = "", []
         while len(text) < how.length:
             kind = pick(("word", "word", "word", "word", "word", "other", *KINDS)) if rng.random() < 0.5 else "word"
             piece = make[kind]() if kind in make else other() if kind == "other" else word()
+            before, after = pick((("token = \"", "\""), ("api_key: ", ""), ("SECRET=", ""), ("password '", "'"), ("", ""))) if kind == "secret" else ("", "")
+            text += before
             if kind in make:
                 spans.append((len(text), len(text) + len(piece), kind))
-            text += piece + pick((" ", " ", " ", ", ", ". ", "\n"))
+            text += piece + after + pick((" ", " ", " ", ", ", ". ", "\n"))
         out.append((text[: how.length], [(a, min(b, how.length), k) for a, b, k in spans if a < how.length]))
     return out
 
@@ -411,7 +424,7 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-_ADDED = [("n_email", T.LongType()), ("n_ip", T.LongType()), ("n_card", T.LongType()), ("n_phone", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("n_added", T.LongType()), ("masked_text", T.StringType())]
+_ADDED = [("n_email", T.LongType()), ("n_ip", T.LongType()), ("n_card", T.LongType()), ("n_phone", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("n_added", T.LongType()), ("n_spans", T.LongType()), ("masked_text", T.StringType())]
 
 
 def detect(docs: DataFrame, how: Training = Training(), with_text: bool = True) -> DataFrame:
@@ -427,10 +440,11 @@ def detect(docs: DataFrame, how: Training = Training(), with_text: bool = True)
             column = batch.column(batch.schema.get_field_index("text"))
             texts = as_bytes(column)
             found = find(texts, w)
-            cols = {f"n_{k}": [sum(s[2] == k for s in base) for base, _ in found] for k in KINDS}
+            cols = {f"n_{k}": [sum(s[2] == k for s in base) for base, _ in found] for k in PATTERNS}
             cols["base_sha256"] = [hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found]
             cols["spans"] = [listed(every) for _, every in found]
             cols["n_added"] = [len(every) - len(base) for base, every in found]
+            cols["n_spans"] = [len(every) for _, every in found]
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in carried]
             for n, t in added:
                 if n == "masked_text":
