@@ -1,5 +1,8 @@
 """Line-first cleaning: judge each line by rules, drop the lines that fail, then reject documents that lost too much.
 
+Navigation: lines of separators, and runs of short lines that no mark ends. Punctuation: lines of symbols and
+doubled marks. Boilerplate: phrases of web pages in four languages.
+
 The work is one pass over each text with no exchange, so a third of all rows in one source changes nothing.
 
 Edge cases: a null or empty text has no words, keeps no lines and fails; repeated rows get equal verdicts;
@@ -22,11 +25,15 @@ from tidemark.llm.common import BLANKS, as_bytes
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
 SEPARATORS = {x.encode() for x in ("|", "»", "›", "•", "·", ">", "/", "::")}
+_END = (b".", b",", b";", b":", b"!", b"?", b'"', b"'", b")", b"\xe2\x80\xa6", b"\xe2\x80\x9d", b"\xc2\xbb")
 _SHOUT = re.compile(rb"[!?]{2}|[#*$%&|<>]")
 _BOILERPLATE = re.compile(
     rb"all rights reserved|cookie (?:policy|settings|consent)|we use cookies|enable javascript|privacy policy"
     rb"|terms (?:of (?:use|service)|and conditions)|subscribe to|sign up for|log ?in|click here|read more|share (?:this|on)"
-    rb"|skip to (?:main )?content|lorem ipsum",
+    rb"|skip to (?:main )?content|lorem ipsum"
+    rb"|alle rechte vorbehalten|diese (?:web)?seite verwendet cookies|wir verwenden cookies|datenschutzerkl\xc3\xa4rung|newsletter abonnieren|jetzt anmelden|hier klicken|zum (?:haupt)?inhalt springen"
+    rb"|tous droits r\xc3\xa9serv\xc3\xa9s|nous utilisons des cookies|politique de confidentialit\xc3\xa9|mentions l\xc3\xa9gales|cliquez ici|lire la suite|aller au contenu"
+    rb"|todos los derechos reservados|utilizamos cookies|pol\xc3\xadtica de privacidad|aviso legal|haga clic aqu\xc3\xad|leer m\xc3\xa1s|ir al contenido",
     re.I,
 )
 
@@ -41,6 +48,9 @@ class LineRules:
     #: A line of navigation has at least so many separators and this share of its words are such.
     nav_separators: int = 2
     nav_share: float = 0.25
+    #: So many lines in a row, of at most so many words and without a mark at the end, are a menu.
+    menu_lines: int = 4
+    menu_words: int = 3
     #: A line fails for punctuation if this share of its words holds symbols or doubled ! or ?.
     symbol_share: float = 0.3
     symbol_words: int = 3
@@ -93,6 +103,20 @@ def repeated_words(ids: np.ndarray, window: int) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def menu_lines(lines: list[tuple[bytes, list[bytes]]], rules: LineRules) -> set[int]:
+    """Places, among the lines with words, of those in a run of short lines that no mark ends."""
+    out: set[int] = set()
+    run: list[int] = []
+    for k in range(len(lines) + 1):
+        if k < len(lines) and len(lines[k][1]) <= rules.menu_words and not lines[k][1][-1].endswith(_END):
+            run.append(k)
+        else:
+            if len(run) >= rules.menu_lines:
+                out.update(run)
+            run = []
+    return out
+
+
 class _Ids(dict):
     def __missing__(self, word):
         self[word] = len(self)
@@ -106,13 +130,15 @@ def assess(text: bytes, rules: LineRules) -> tuple:
     word_chars = chars(solid)
     n_symbols = len(solid.translate(None, _NOT_SYMBOLS))
     seen, dup, lost, failed, kept_lines, words = set(), 0, 0, 0, [], []
-    for line in text.split(b"\n"):
-        own = line.split()
+    lines = [(line, line.split()) for line in text.split(b"\n")]
+    menu, place = menu_lines([x for x in lines if x[1]], rules), -1
+    for line, own in lines:
         if own:
+            place += 1
             words += own
             dup += line in seen
             seen.add(line)
-            if line_fails(own, line, rules):
+            if place in menu or line_fails(own, line, rules):
                 failed += 1
                 lost += chars(b"".join(own))
                 continue
