@@ -2,8 +2,9 @@
 
 Each task packs its own documents as they come. A level array counts the open windows by how full they are. A
 remainder goes into the level, or a new window, that makes the sum of squared counts least. Full windows'
-worth of a longer document are cut off first. Open windows are bounded: past the bound, and at the end, what
-they hold is cut anew into full windows. The last tail is cut at powers of two, which are never padded.
+worth of a longer document are cut off first. When a task ends, what its open windows hold is cut anew into full
+windows, and the last tail at powers of two, which are never padded. Open windows hold remainders of the task's
+documents alone, so memory is bounded by the split that a task reads.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives no
 piece; very long texts are cut; further columns are ignored.
@@ -22,8 +23,6 @@ from tidemark.llm.common import as_bytes
 from tidemark.llm.vocab import encoded
 
 CAPACITY = 1024
-#: Open windows of a task; memory is at most so many windows.
-MAX_OPEN = 4096
 #: A piece: document, start in it, ids as bytes, the document's tokens.
 Piece = tuple[int, int, bytes, int]
 
@@ -31,8 +30,8 @@ Piece = tuple[int, int, bytes, int]
 class Packer:
     """``add`` documents, ``finish``; both give closed windows, each a list of pieces."""
 
-    def __init__(self, capacity: int = CAPACITY, max_open: int = MAX_OPEN):
-        self.capacity, self.max_open = capacity, max_open
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity = capacity
         self.counts = np.zeros(capacity + 1, np.int64)
         self.levels: list[list[list[Piece]]] = [[] for _ in range(capacity + 1)]
         self.open = 0
@@ -66,7 +65,7 @@ class Packer:
         self.levels[level + size].append(window)
         self.counts[level + size] += 1
         self.open += 1
-        return self.recut() if self.open > self.max_open else []
+        return []
 
     def add(self, doc: int, ids: bytes) -> list[list[Piece]]:
         total = len(ids) // 4
@@ -76,14 +75,13 @@ class Packer:
             out += self._put((doc, cut, ids[4 * cut :], total), total - cut)
         return out
 
-    def recut(self, last: bool = False) -> list[list[Piece]]:
-        """Empties all open windows into full ones; the tail stays open, or is cut at powers of two."""
+    def finish(self) -> list[list[Piece]]:
+        """Empties all open windows into full ones; the tail is cut at powers of two."""
         pieces = [p for level in reversed(self.levels) for window in level for p in window]
-        self.__init__(self.capacity, self.max_open)
+        self.__init__(self.capacity)
         total = sum(len(p[2]) // 4 for p in pieces)
-        sizes = [self.capacity] * (total // self.capacity)
         tail = total % self.capacity
-        sizes += [1 << k for k in reversed(range(tail.bit_length())) if tail >> k & 1] if last else [tail] * bool(tail)
+        sizes = [self.capacity] * (total // self.capacity) + [1 << k for k in reversed(range(tail.bit_length())) if tail >> k & 1]
         out, at, skip = [], 0, 0
         for size in sizes:
             window: list[Piece] = []
@@ -95,14 +93,8 @@ class Packer:
                 if skip == len(ids) // 4:
                     at, skip = at + 1, 0
             out.append(window)
-        if tail and not last:
-            self.levels[tail].append(out.pop())
-            self.counts[tail] = self.open = 1
         return out
 
-    def finish(self) -> list[list[Piece]]:
-        return self.recut(last=True)
-
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, drops_blanks: bool, capacity: int = CAPACITY) -> DataFrame:
     """Pieces: (doc_id, start, length, ids, doc_tokens, sequence_id, offset, padded_length).
