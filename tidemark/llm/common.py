@@ -20,11 +20,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that all machines share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set for the session.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset and all runs
+    on one machine, as in tests, a temporary folder is made and set for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()

@@ -9,7 +9,7 @@ Bundling is a sum, so the prototypes of a whole corpus are made from n-gram coun
 themselves and that are then summed by (language, n-gram): at most ``SYMBOLS ** N`` rows for a language.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, and so is every text if nothing
-could be learned; ties go to the language first in order; repeated rows get equal results; further columns
+could be learned; a row with a null id is learned from and not held out; ties go to the language first in order; repeated rows get equal results; further columns
 are ignored.
 """
 

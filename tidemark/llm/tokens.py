@@ -8,7 +8,8 @@ that need more. The width is the one that the chosen percentile of the block's v
 Images travel as binary cells of Parquet files, so they reach any store that Spark writes, are committed
 with the job and are written again if an executor is lost. ``dump`` makes plain files of them.
 
-Edge cases: a null or empty text is the end id alone; repeated rows are kept, in the order of their texts;
+Edge cases: a null or empty text is the end id alone; repeated rows are kept, in the order of their texts; rows
+with a null id come first and get a null id back;
 an empty table gives no shard; further columns are ignored.
 """
 
@@ -32,6 +33,8 @@ BLOCK = 256
 PERCENTILE = 90
 #: Values after which a shard is closed, at the end of a document.
 SHARD_VALUES = 1_000_000
+#: Stands for a null id in a shard.
+NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<8sQIII")
 
 
@@ -157,7 +160,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, drops_blank
         for batch in batches:
             texts = [x.decode("utf-8", "replace") for x in as_bytes(batch.column(1))]
             for doc, own in zip(batch.column(0).to_pylist(), encoded(vocabulary, drops_blanks, texts, end_id), strict=True):
-                ids.append(doc)
+                ids.append(NO_ID if doc is None else doc)
                 held.append(own)
                 size += len(own) // 4
                 if size >= SHARD_VALUES:
@@ -193,7 +196,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(starts + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array([flat[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())],
+                    [pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(starts + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array([flat[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
