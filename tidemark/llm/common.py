@@ -44,6 +44,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the folders of written frames that nothing reads any more; what was made of them must be written by now."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """(the written frame, its number of rows, observed while writing)."""
     seen = Observation(f"{name}-{uuid.uuid4().hex}")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, shuffle_parts, written
+from tidemark.llm.common import as_bytes, forget, shuffle_parts, written
 
 START, END, OTHER, FIRST = 0, 1, 2, 3
 
@@ -49,15 +49,15 @@ class Katz:
     #: Counts up to this are discounted.
     discounted: int = 5
     #: Bytes of text after which a block is closed, at the end of a document.
-    block: int = 12_000_000
+    block: int = 8_000_000
     #: Table partitions for each shuffle partition.
-    spread: int = 2
+    spread: int = 3
 
 
 def _squeeze(x: np.ndarray) -> bytes:
     """Unsigned integers by byte planes, compressed."""
     raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def _expand(data: bytes, kind) -> np.ndarray:
@@ -401,6 +401,7 @@ def score(docs: DataFrame, held_out: Column, how: Katz = Katz()) -> DataFrame:
     ends = int(blocks.select(F.size(F.filter("held", lambda x: ~x)).alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0)
     uni = unigrams(words.where("kind = 'model'"), ends, how)
     named = written(numbered(blocks, words.where("kind = 'answer'").select("block", "part", "data", "ranks"), uni, how, parts), "numbered")
+    forget(blocks, words)
     pairs = written(bigram_counts(named, uni, how, parts), "bigrams", ["kind"])
     k = how.discounted
     sums = pairs.where("kind = 'counts'").agg(*[F.sum(F.get("counts", F.lit(r))).alias(f"n{r}") for r in range(1, k + 2)]).first()
