@@ -110,6 +110,6 @@ def https_only(url: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     """E-mail addresses, links and long digit runs replaced by their kind."""
-    mail = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]")
+    mail = F.when(text.contains("@"), F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]")).otherwise(text)
     link = F.regexp_replace(mail, r"https?://[^ \n]+", "[LINK]")
     return F.regexp_replace(link, r"[0-9]{7,}", "[NUMBER]")

@@ -174,10 +174,10 @@ def confirmation_collect(spark, sf_dir):
     return v.where("type = 'purchase'").join(per, "user_id", "left").select("event_id", F.coalesce("n", F.lit(0)).cast("long").alias("confirmations"), F.coalesce(F.col("top") >= 90, F.lit(False)).alias("confirmed"))
 
 
-@query(f"""with {EV}, e as (select * from ev where type = 'error'), done as (select distinct user_id from ev where type = 'signup') select distinct user_id from e where k not in (0, 50) and user_id not in (select user_id from done)""")
+@query(f"""with {EV}, e as (select * from ev where type = 'error'), done as (select distinct user_id from ev where type = 'signup' and k > 90) select distinct user_id from e where k not in (0, 50) and user_id not in (select user_id from done)""")
 def retryable_worklist(spark, sf_dir):
     e = tables.events(spark, sf_dir)
-    return e.where("type = 'error' and k not in (0, 50)").select("user_id").distinct().join(e.where("type = 'signup'").select("user_id"), "user_id", "left_anti")
+    return e.where("type = 'error' and k not in (0, 50)").select("user_id").distinct().join(e.where("type = 'signup' and k > 90").select("user_id"), "user_id", "left_anti")
 
 
 @query("select page_id, case when regexp_extract(url, '^([a-z]+)://', 1) = 'https' then url end as https_url from pages")

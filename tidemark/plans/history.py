@@ -95,14 +95,17 @@ def _conditions():
 @query(f"with {_FEATURED} select l_orderkey, l_linenumber, l_partkey, coalesce(list_aggregate({_HITS}, 'string_agg', '|'), '') as hits, cast({_TOTAL} as double) as score, not (l_quantity > 48) and cast({_TOTAL} as double) >= 1 as rules_positive from f")
 def rule_hits(spark, sf_dir):
     f, c = _featured(spark, sf_dir), _conditions()
-    score = domain.score(c)
-    return f.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(domain.hits(c), "|").alias("hits"), score.alias("score"), ((F.col("l_quantity") <= 48) & (score >= domain.RULES_THRESHOLD)).alias("rules_positive"))
+    told = f.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", domain.hit_list(c).alias("hits"), domain.score(c).alias("score"))
+    return told.select("l_orderkey", "l_linenumber", "l_partkey", "hits", "score", ((F.col("l_quantity") <= 48) & (F.col("score") >= domain.RULES_THRESHOLD)).alias("rules_positive"))
 
 
 @query(f"with {_FEATURED}, h as (select unnest({_HITS}) as rule, l_returnflag = 'R' as good from f) select rule, count(*) as fired, count(*) filter (where good) as positives from h group by 1")
 def rule_stats(spark, sf_dir):
-    h = _featured(spark, sf_dir).select(F.explode(domain.hits(_conditions())).alias("rule"), (F.col("l_returnflag") == "R").alias("good"))
-    return h.groupBy("rule").agg(F.count("*").alias("fired"), F.count_if("good").alias("positives"))
+    """One aggregate over the lines, two counts for each rule; rules that never fired are left out."""
+    c, good = _conditions(), F.col("l_returnflag") == "R"
+    counts = _featured(spark, sf_dir).agg(*[F.struct(F.count_if(x).alias("fired"), F.count_if(x & good).alias("positives")).alias(k) for k, x in c.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"{k}.fired").alias("fired"), F.col(f"{k}.positives").alias("positives")) for k in c])
+    return counts.select(F.explode(rows).alias("r")).select("r.*").where("fired > 0")
 
 
 @query("select '" + domain.fingerprint() + "' as fingerprint, " + str(len(domain.RULES)) + "::bigint as rules, cast(" + str(max(abs(r.weight) for r in domain.RULES)) + " as double) as widest")

@@ -64,17 +64,20 @@ def stated_amount(spark, sf_dir):
 @query("with u as (select doc_id from documents where lang = 'de' union all select doc_id from documents where source = 'src0' union all select doc_id from documents where n_chars > 2000) select doc_id, count(*) as listed from u group by 1")
 def source_union_dedupe(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    u = d.where("lang = 'de'").select("doc_id").unionByName(d.where("source = 'src0'").select("doc_id")).unionByName(d.where("n_chars > 2000").select("doc_id"))
-    return u.groupBy("doc_id").agg(F.count("*").alias("listed"))
+    """One scan: each row says how many of the lists name it."""
+    flags = [F.when(F.expr(c), 1).otherwise(0) for c in ("lang = 'de'", "source = 'src0'", "n_chars > 2000")]
+    named = d.select("doc_id", (flags[0] + flags[1] + flags[2]).cast("long").alias("n")).where("n > 0")
+    return named.groupBy("doc_id").agg(F.sum("n").alias("listed"))
 
 
-@query("select sha256(text) as input_hash, min(doc_id) as first_id, count(*) as n from documents where text is not null group by 1")
+@query("""with d as (select sha256(text) as input_hash, doc_id, doc_id % 3 as batch from documents where text is not null), a as (select input_hash, min(doc_id) as first_id, 1 as batch from d where batch < 2 group by 1)
+ select * from a union all select input_hash, min(doc_id), 2 from d where batch = 2 and input_hash not in (select input_hash from a) group by 1""")
 def idempotent_append(spark, sf_dir):
-    """What is stored of texts by their hash; appending again adds none (an anti join on the hash)."""
-    d = tables.table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("input_hash"), "doc_id")
-    stored = d.groupBy("input_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    again = d.join(stored.select("input_hash"), "input_hash", "left_anti").select("input_hash", F.col("doc_id").alias("first_id"), F.lit(1).cast("long").alias("n"))
-    return stored.unionByName(again)
+    """Texts by their hash in two batches: the second adds only what the first does not hold (an anti join on the hash)."""
+    d = tables.table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("input_hash"), "doc_id", (F.col("doc_id") % 3).alias("batch"))
+    batch = lambda rows, n: rows.groupBy("input_hash").agg(F.min("doc_id").alias("first_id")).withColumn("batch", F.lit(n))
+    stored = batch(d.where("batch < 2"), 1)
+    return stored.unionByName(batch(d.where("batch = 2").join(stored.select("input_hash"), "input_hash", "left_anti"), 2))
 
 
 @query("""select p_partkey, sha256('{"brand":"' || p_brand || '","size":' || p_size || ',"type":"' || p_type || '"}') as input_hash from part""")

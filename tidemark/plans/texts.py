@@ -29,10 +29,11 @@ _GATE = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9-]+", "uid": "CHE
 
 @query("select rule, cell, count(*) as hits from (select c.cell, r.rule, c.value, r.re from (select 'text' as cell, text as value from documents union all select 'source', source from documents) c, (values " + ", ".join(f"('{k}', '{v}')" for k, v in _GATE.items()) + ") r(rule, re)) where regexp_matches(value, re) group by 1, 2")
 def person_data_gate(spark, sf_dir):
-    """Cells are unpivoted; the rules, a handful, are counted side by side."""
-    cells = tables.table(spark, sf_dir, "documents").select(F.explode(F.array(F.struct(F.lit("text").alias("cell"), F.col("text").alias("value")), F.struct(F.lit("source").alias("cell"), F.col("source").alias("value")))).alias("x")).select("x.*")
-    hit = [F.when(F.col("value").rlike(v), F.lit(k)) for k, v in _GATE.items()]
-    return cells.select("cell", F.explode(F.filter(F.array(*hit), lambda h: h.isNotNull())).alias("rule")).groupBy("rule", "cell").agg(F.count("*").alias("hits"))
+    """One aggregate over the table, a count for each rule and cell. An address is looked for only where there is an at sign."""
+    wanted = lambda c, k, v: (F.col(c).contains("@") if k == "email" else F.lit(True)) & F.col(c).rlike(v)
+    counts = tables.table(spark, sf_dir, "documents").agg(*[F.count_if(wanted(c, k, v)).alias(f"{c}_{k}") for c in ("text", "source") for k, v in _GATE.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(c).alias("cell"), F.col(f"{c}_{k}").alias("hits")) for c in ("text", "source") for k in _GATE])
+    return counts.select(F.explode(rows).alias("r")).select("r.*").where("hits > 0")
 
 
 @query("""select page_id, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::bigint as links, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)))::bigint as kinds, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ' ') as targets, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as title from pages""")
