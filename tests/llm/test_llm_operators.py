@@ -343,7 +343,7 @@ def test_mixing(spark, docs, none, mixable):
     budget = sum(r.n_tokens * r.p_good for r in out) / 0.8
     assert all(abs(total[x] - MIX.targets[x] * budget) <= 1e-4 * budget for x in mixing.DOMAINS)
     bad = lambda t: np.mean([r.rate for r in out if (r.doc_id % 10 == 0) == t])
-    assert bad(True) < 0.5 < bad(False)
+    assert bad(True) < 0.7 < bad(False)
     # of documents without a label, each domain is told apart
     held = [r for r in out if r.doc_id % 3 == 0]
     told = {k: np.mean([max(mixing.DOMAINS, key=lambda x: r[f"p_{x}"]) == want for r in held if want == ("toxic" if r.doc_id % 10 == 0 else "poor" if r.doc_id % 10 == 1 else "good")]) for k, want in enumerate(mixing.DOMAINS)}
