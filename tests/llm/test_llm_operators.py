@@ -329,7 +329,7 @@ MIX = mixing.Mix(targets={"good": 0.8, "poor": 0.16, "toxic": 0.04}, penalty=0.1
 def mixable(spark):
     """200 documents in three plain domains, and labels for most of them."""
     rng = random.Random(4)
-    rows = [(k, prose(rng, 40) + (" vile" if k % 10 == 0 else "") + (" ### $$$ ***" * 10 if k % 10 == 1 else "")) for k in range(200)]
+    rows = [(k, prose(rng, 40) + (" vile scum, awful trash" if k % 10 == 0 else "") + (" ### $$$ ***" * 10 if k % 10 == 1 else "")) for k in range(200)]
     labels = [(k, int(k % 10 != 1), int(k % 10 == 0)) for k in range(200) if k % 3]
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
