@@ -124,3 +124,23 @@ def canton_valid(spark, sf_dir):
 def metric_lines(spark, sf_dir):
     c = tables.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 1500).alias("hit"))
     return c.select("lang", records.metric_line(F.col("hit"), F.col("n"), "document").alias("line"))
+
+
+@query(f"with {EV} select distinct published_at as day from ev where published_at <= date '{AS_OF}'")
+def distinct_days(spark, sf_dir):
+    """The days with a visible publication."""
+    return tables.events(spark, sf_dir).where(F.col("published_at") <= F.lit(AS_OF).cast("date")).select(F.col("published_at").alias("day")).distinct()
+
+
+@query("select event_id, case when cast(json_extract_string(props, '$.k') as int) between 0 and 80 then cast(json_extract_string(props, '$.k') as int) end as k from events")
+def checked_json(spark, sf_dir):
+    """A stored result is read only if it is well formed and in its range, else null."""
+    raw = tables.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int").alias("v"))
+    return raw.select("event_id", F.when(F.col("v.k").between(0, 80), F.col("v.k")).alias("k"))
+
+
+@query("select o_custkey, array_to_string(list_sort(list_distinct(list(o_orderstatus))), ',') as statuses, count(*) as n, max(o_totalprice) as largest, cast(max(o_orderdate) as date) as latest from orders group by 1")
+def compact_view(spark, sf_dir):
+    """One flat row for each entity, for a listing."""
+    o = tables.orders(spark, sf_dir).groupBy("o_custkey")
+    return o.agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"), F.count("*").alias("n"), F.max("o_totalprice").alias("largest"), F.max("day").alias("latest"))
