@@ -65,6 +65,22 @@ def stated_amount(title: Column) -> tuple[Column, Column]:
     return F.round(F.replace(number, F.lit(","), F.lit(".")).cast("double") * factor).cast("long"), currency
 
 
+# Words of titles that are never a round, that are one only if money came in, and that say it did.
+NO_ROUND = r"grants?|awards?|prizes?|preis|prix|loans?|prêts?|darlehen|kredit|crédit|ipo|spac|go(?:es|ing)? public|listing|börsengang|liquidation"
+TAKEOVER = r"acqui\p{L}*|übernimmt|übernahme|rachat|rachète|racheté|kauft|merger|majority|mehrheits\p{L}*|majoritaire"
+MONEY_IN = r"rais\p{L}*|secur\p{L}*|funding|financing|round|series [a-f]|seed|investors?|investment|finanzierung\p{L}*|finanziert|kapitalerhöhung|levée|lève|financement|tour de table"
+
+
+def whole_words(body: Column, alternatives: str) -> Column:
+    """Whether a word of the text is one of the alternatives, in any case; letters and digits of any script make words."""
+    return body.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{alternatives})(?![\p{{L}}\p{{N}}])")
+
+
+def round_news(title: Column) -> Column:
+    """Whether a title can confirm a round: no grant, loan or listing, and of takeovers those where money came in."""
+    return ~whole_words(title, NO_ROUND) & (~whole_words(title, TAKEOVER) | whole_words(title, MONEY_IN))
+
+
 def stage(title: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(title, r"(?i)\b(pre-seed|seed|series [a-e]|bridge|growth)\b", 1)), F.lit(""))
 
@@ -97,6 +113,29 @@ def display_amount(amount: Column) -> Column:
     return F.concat(sign, grouped(whole), F.when(cents > 0, F.concat(F.lit("."), F.lpad(cents.cast("string"), 2, "0"))).otherwise(""))
 
 
+def display_decimal(number: Column) -> Column:
+    """A decimal text with grouped thousands, cents only where there are any. Null if it is no decimal or has more than two decimals."""
+    n = F.trim(number)
+    whole, cents = F.regexp_replace(F.regexp_extract(n, r"^-?(\d+)", 1), r"^0+(?=\d)", ""), F.regexp_extract(n, r"\.(\d{1,2})0*$", 1)
+    shown = F.concat(F.regexp_extract(n, r"^(-?)", 1), grouped(whole), F.when(cents.rlike("[1-9]"), F.concat(F.lit("."), F.rpad(cents, 2, "0"))).otherwise(""))
+    return F.when(n.rlike(r"^-?\d+(?:\.\d{0,2}0*)?$") & ~n.rlike(r"\.$"), shown)
+
+
+def display_money(number: Column, currency: Column) -> Column:
+    return F.concat(currency, F.lit(" "), display_decimal(number))
+
+
+def display_nominal(number: Column) -> Column:
+    """As an amount, but with every decimal of fractions of a cent."""
+    n, fine = F.trim(number), r"^(\d+)\.(\d{2}\d*?[1-9])0*$"
+    return F.when(n.rlike(fine), F.concat(display_decimal(F.regexp_extract(n, fine, 1)), F.lit("."), F.regexp_extract(n, fine, 2))).otherwise(display_decimal(n))
+
+
+def display_share(fraction: Column) -> Column:
+    """0.1234 as 12.3%."""
+    return F.format_string("%.1f%%", fraction * 100)
+
+
 def compact(amount: Column) -> Column:
     """1.2M, 120k or 850."""
     short = lambda x: F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from tidemark.plans import calendar, evaluation, feed, history, matching, records, redactions, texts  # noqa: F401
+    from tidemark.plans import calendar, evaluation, feed, history, matching, parsing, records, redactions, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -24,6 +24,21 @@ RESERVES = r"(?iu)frei verwendbare[sn]? Eigenkapital|Umwandlung von Reserven|inc
 CORRECTION = r"(?i)^(?:Berichtigung|Rectification|Rettifica)\b"
 CANCELLED = r"(?iu)(?:annulliert|aufgehoben|annulée?|annullata)[^0-9]{0,200}([0-9]{10})"
 ITEMS = r"(\d[\d’']*)\s+([^\d,;\[\]]*?(?:[Aa]ktien|actions?|azioni)[^\d,;\[\]]*?)\s*(?:zu|de|da)\s+(CHF|EUR|USD|GBP)\s+([\d’'.]*\d)"
+#: Where a text states its shares (now, formerly), by language; the second wording states them without a "before".
+STATED = {
+    "de": (r"Aktien neu:\s*([^\[]*?)(?:\[bisher:\s*([^\]]*)\]|\.\s+(?=[A-ZÄÖÜ])|$)", r"Aktien:\s*([\s\S]*?)(?:\.\s+(?=[A-ZÄÖÜ])|\.?$)"),
+    "fr": (r"Nouvelles actions:\s*([^\[]*?)(?:\[précédemment:\s*([^\]]*)\]|\.\s+(?=[A-ZÉÈ])|$)", r"divisé en\s+([\s\S]*?)(?:\.\s+(?=[A-ZÉÈ])|\.?$)"),
+    "it": (r"Nuove azioni:\s*([^\[]*?)(?:\[finora:\s*([^\]]*)\]|\.\s+(?=[A-Z])|$)", r"suddiviso in\s+([\s\S]*?)(?:\.\s+(?=[A-Z])|\.?$)"),
+}
+#: A split of shares, participation capital, issued shares, shares set off, notices of an adoption, a change of currency.
+RESPLIT = r"Les\s+(\d[\d’']*\s+actions[^.]*?de\s+(?:CHF|EUR|USD|GBP)\s+[\d’'.]*\d)\s+sont transformées en\s+([\s\S]*?)(?:\.\s+(?=[A-ZÉÈ])|\.?$)"
+PARTICIPATION = r"(?i)^\s*\d[\d’']*\s+(?:bons|Namen-Partizipationsscheine|Partizipationsscheine|buoni)"
+ISSUED = r"(?i)(?:par l['’]émission de|émission de|Ausgabe von|emissione di)\s+([\s\S]*?)(?:,\s*(?:dont|toutes|entièrement|libérées)|\.\s+(?=[A-ZÉÈÄÖÜ])|\.?$)"
+ISSUED_COUNT = r"(?i)^(\d[\d’']*)\s+(?:nouvelles\s+)?(?:actions|Aktien|Namenaktien|Inhaberaktien|azioni)\b"
+SET_OFF_SHARES = r"(?iu)(?:wofür|il est remis|per cui)\s+(\d[\d’']*)\s+(?:[\p{L}-]+\s+){0,3}?(?:Namenaktien|Inhaberaktien|Aktien|actions|azioni)|dont\s+(\d[\d’']*)\s+actions[^,;.]{0,60}?libérées? par compensation"
+ADOPTION = r"(?iu)(?<![\p{L}])(?:beschlossen|eingeführt|geändert|aufgehoben|introduit une clause|modifié une clause|supprimé une clause|ha introdotto|ha modificato|ha soppresso)(?![\p{L}])"
+REDENOMINATION = r"(?iu)monnaie du capital[\s\S]{0,200}?(?:a été )?converti|Währung des (?:Aktien)?[Kk]apitals[\s\S]{0,200}?(?:umgestellt|umgewandelt|geändert)|Umstellung (?:der Währung|des Aktienkapitals auf)|valuta del capitale[\s\S]{0,200}?convertit"
+CURRENCY_BEFORE = r"(?iu)monnaie du capital-actions de\s+(CHF|EUR|USD|GBP)\b"
 #: Abbreviations that end no sentence.
 SHORT = "Nr|No|Art|art|al|lit|bzw|ca|resp|Ziff|cf|vgl|St|Fr|Hr|Dr|Prof|Mme"
 #: Kinds of clauses, the first that fits counts.
@@ -95,21 +110,78 @@ def share_classes(body: Column) -> Column:
     )
 
 
-def contribution(body: Column) -> Column:
-    """How an increase was paid; cash if nothing else is said."""
-    other, cash = body.rlike(SET_OFF) | body.rlike(IN_KIND), body.rlike(CASH)
-    return F.when(other & cash, "mixed").when(body.rlike(SET_OFF), "set_off").when(body.rlike(IN_KIND), "in_kind").when(body.rlike(CONDITIONAL), "conditional_capital").otherwise("cash")
+def _first_in(body: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(body, pattern, group), F.lit(""))
+
+
+def share_segments(body: Column, language: Column) -> Column:
+    """(after, before): the last statement of the shares, and the first "before" of a text that may state them several times.
+
+    Statements are found by wording and put in the order of the text. Participation capital is no share. A text in
+    another language is read as German.
+    """
+    none = F.lit(None).cast("string")
+
+    def said(pattern: str, now: int, former: int | None) -> Column:
+        after = F.regexp_extract_all(body, F.lit(pattern), now)
+        before = F.regexp_extract_all(body, F.lit(pattern), former) if former else F.transform(after, lambda _: none)
+        # what stands before the i-th mark is as long as that statement's place
+        parts = F.split(F.regexp_replace(F.replace(body, F.lit("\x01"), F.lit(" ")), f"({pattern})", "\x01$1"), "\x01")
+        rows = F.arrays_zip(after.alias("after"), before.alias("before"))
+        placed = F.transform(rows, lambda x, i: F.struct(F.length(F.array_join(F.slice(parts, 1, i + 1), "")).alias("at"), x["after"].alias("after"), F.nullif(x["before"], F.lit("")).alias("before")))
+        return F.filter(placed, lambda x: ~x["after"].rlike(PARTICIPATION))
+
+    def of(name: str) -> Column:
+        primary, other = STATED[name]
+        return F.array_sort(F.concat(said(RESPLIT, 2, 1), said(primary, 1, 2), said(other, 1, None)))
+
+    found = F.when(language == "fr", of("fr")).when(language == "it", of("it")).otherwise(of("de"))
+    first, last = F.get(found, F.lit(0)), F.element_at(found, -1)
+    before = F.when(F.size(found) > 1, F.coalesce(first["before"], first["after"])).when(F.size(found) == 1, first["before"])
+    return F.struct(F.when(F.size(found) > 0, last["after"]).alias("after"), before.alias("before"))
+
+
+def issued_shares(body: Column) -> Column:
+    """Shares issued as stated, summed over classes; quotas are no shares. Null where none are stated."""
+    said = _first_in(body, ISSUED, 1)
+    classes = share_classes(said)
+    total = F.aggregate(classes, F.lit(0).cast("long"), lambda s, x: s + x["count"])
+    return F.when(F.size(classes) > 0, total).otherwise(text.plain_number(_first_in(F.trim(said), ISSUED_COUNT, 1)).try_cast("long"))
+
+
+def currency_before(body: Column, before_classes: Column, after_classes: Column) -> Column:
+    """The capital's former currency if this entry changes it: from the classes, or from what a French text says."""
+    now = F.transform(after_classes, lambda c: c["currency"])
+    other = F.get(F.filter(F.transform(before_classes, lambda c: c["currency"]), lambda c: ~F.array_contains(now, c)), F.lit(0))
+    return F.coalesce(F.when(F.size(now) > 0, other), F.when(body.rlike(REDENOMINATION), _first_in(body, CURRENCY_BEFORE, 1)))
+
+
+def contribution(body: Column, issued: Column | None = None) -> Column:
+    """How an increase was paid; cash if nothing else is said.
+
+    A set-off for fewer shares than were issued leaves the rest to cash. A sentence that only adopts conditional capital issues nothing.
+    """
+    set_off, in_kind = body.rlike(SET_OFF), body.rlike(IN_KIND)
+    covered = text.plain_number(F.coalesce(_first_in(body, SET_OFF_SHARES, 1), _first_in(body, SET_OFF_SHARES, 2))).try_cast("long")
+    partial = F.coalesce(covered < issued, F.lit(False)) if issued is not None else F.lit(False)
+    sentences = F.split(body, r"(?<=\.)\s+(?=\p{Lu})")
+    conditional = F.exists(sentences, lambda s: s.rlike(CONDITIONAL) & ~s.rlike(ADOPTION))
+    return F.when((set_off | in_kind) & (body.rlike(CASH) | partial), "mixed").when(set_off, "set_off").when(in_kind, "in_kind").when(conditional, "conditional_capital").otherwise("cash")
 
 
 def events(published: DataFrame) -> DataFrame:
     """(event_id, id, seq, uid, type, ...): up to six events of a document, in their fixed order."""
-    now = published.withColumn("now", active(F.col("text"))).withColumn("former", F.array_join(F.regexp_extract_all("text", F.lit(r"\[(?:bisher|précédemment|finora)[^\]]*\]"), 0), " "))
-    now = now.withColumn("after_classes", share_classes(F.col("now"))).withColumn("before_classes", share_classes(F.col("former")))
+    stated = share_segments(F.col("text"), F.col("language"))
+    now = published.withColumn("now", active(F.col("text"))).withColumn("stated", stated)
+    now = now.withColumn("after_classes", share_classes(F.col("stated.after"))).withColumn("before_classes", share_classes(F.col("stated.before"))).withColumn("issued", issued_shares(F.col("now")))
     total = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["count"]))
     a, b = F.col("capital_after").try_cast("decimal(20,2)"), F.col("capital_before").try_cast("decimal(20,2)")
     same_day = F.col("now").rlike(REDUCTION) & F.col("now").rlike(AT_ONCE)
     direction = F.when(same_day & (a == b), "unchanged").when(a > b, "increase").when(a < b, "reduction").otherwise("unchanged")
-    shares_after, shares_before = total(F.col("after_classes")), total(F.col("before_classes"))
+    shares_after, stated_before = total(F.col("after_classes")), total(F.col("before_classes"))
+    # what is not stated follows from what was issued, if that leaves a count
+    rest = F.when((direction == "increase") & ~same_day & (shares_after >= F.col("issued")), shares_after - F.col("issued"))
+    shares_before = F.coalesce(stated_before, rest)
     # A changed capital is an event; an unchanged one only if shares were redrawn or cancelled and reissued.
     changed = (F.col("sub_rubric") != "HR01") & a.isNotNull() & b.isNotNull() & ((direction != "unchanged") | same_day | (shares_after != shares_before))
     cancels = F.nullif(F.regexp_extract("now", CANCELLED, 1), F.lit(""))
@@ -127,7 +199,7 @@ def events(published: DataFrame) -> DataFrame:
     return rows.select(
         F.sha2(F.concat_ws(",", "id", F.col("seq").cast("string")), 256).alias("event_id"), "id", "number", "seq", "uid", "type", "published_at", "legal_at", "canton", of("capital_change", "direction").alias("direction"),
         F.when(step, F.col("capital_before")).alias("capital_before"), F.when(step, F.col("capital_after")).alias("capital_after"), of("capital_change", "shares_before").alias("shares_before"), of("capital_change", "shares_after").alias("shares_after"),
-        F.when(step & (F.col("direction") == "increase"), contribution(F.col("now"))).when(step, "unknown").alias("contribution"), F.when(step, F.col("now").rlike(RESERVES)).alias("from_reserves"), F.when(step, F.col("now").rlike(REDUCTION) & F.col("now").rlike(AT_ONCE)).alias("restructuring_pair"),
-        of("capital_band", "band_action").alias("band_action"), of("cancellation", "cancels").alias("cancels"), F.when(F.col("text").rlike(CORRECTION), F.nullif(F.regexp_extract("text", r"([0-9]{10})", 1), F.lit(""))).alias("corrects"),
+        F.when(step & (F.col("direction") == "increase"), contribution(F.col("now"), F.coalesce("issued", F.col("shares_after") - F.col("shares_before")))).when(step, "unknown").alias("contribution"), F.when(step, F.col("now").rlike(RESERVES)).alias("from_reserves"), F.when(step, F.col("now").rlike(REDUCTION) & F.col("now").rlike(AT_ONCE)).alias("restructuring_pair"),
+        of("capital_change", "issued").alias("issued"), F.when(step, currency_before(F.col("now"), F.col("before_classes"), F.col("after_classes"))).alias("currency_before"), of("capital_band", "band_action").alias("band_action"), of("cancellation", "cancels").alias("cancels"), F.when(F.col("text").rlike(CORRECTION), F.nullif(F.regexp_extract("text", r"([0-9]{10})", 1), F.lit(""))).alias("corrects"),
         of("name_change", "name_before").alias("name_before"), of("name_change", "name").alias("name_after"),
     )
