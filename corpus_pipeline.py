@@ -15,6 +15,8 @@ from tidemark.llm.common import documents, written
 
 #: Some stages can't be expressed in SQL; the pipeline is tested against brute force instead.
 ORACLE_SQL = None
+#: A column of row numbers, under a name that no table has.
+_ROW = "_tidemark_row"
 
 
 def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -31,17 +33,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates on five-word shingles, that with the smallest id.
 
-    Of rows that repeat an id one stays. Rows with a null id all stay.
+    Each row is a document of its own: rows that repeat an id are told apart by their texts, so equal ones leave one
+    and unlike ones all stay. A null id is larger than all others. Texts without words stay.
     """
-    judged = neardup.near_duplicates(docs)
-    # one row for each id: that of a smaller text class decides if texts of one id differ
-    dropped = written(judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "dropped")
+    # the row's number is written, so that every later scan sees the same one
+    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    judged = neardup.near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"))
+    member = written(rows.select(_ROW, "doc_id").join(judged.select(F.col("doc_id").alias(_ROW), "component_id"), _ROW), "member")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW))
+    groups = member.groupBy("component_id").agg(F.count("*").alias("n"), first[_ROW].alias("stays")).where("n > 1").select("component_id", "stays")
+    dropped = written(member.join(groups, "component_id").where(F.col(_ROW) != F.col("stays")).select(_ROW), "dropped")
     near = F.broadcast if neardup.fits(dropped, neardup.NearDup().broadcast) else (lambda df: df)
-    left = docs.join(near(dropped), "doc_id", "left_anti").select(*docs.columns)
-    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return rows.join(near(dropped), _ROW, "left_anti").select(*docs.columns)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
