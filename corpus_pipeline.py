@@ -36,15 +36,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is a document of its own: rows that repeat an id are told apart by their texts, so equal ones leave one
     and unlike ones all stay. A null id is larger than all others. Texts without words stay.
     """
-    # the row's number is written, so that every later scan sees the same one
-    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-    judged = neardup.near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"))
-    member = written(rows.select(_ROW, "doc_id").join(judged.select(F.col("doc_id").alias(_ROW), "component_id"), _ROW), "member")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW))
-    groups = member.groupBy("component_id").agg(F.count("*").alias("n"), first[_ROW].alias("stays")).where("n > 1").select("component_id", "stays")
-    dropped = written(member.join(groups, "component_id").where(F.col(_ROW) != F.col("stays")).select(_ROW), "dropped")
+    named = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if written(named.select("doc_id"), "again").isEmpty():
+        # ids that tell the rows apart are their numbers already
+        rows, own = docs, "doc_id"
+        dropped = neardup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
+    else:
+        # the row's number is written, so that every later scan sees the same one
+        rows, own = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows"), _ROW
+        judged = neardup.near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text"))
+        member = written(rows.select(_ROW, "doc_id").join(judged.select(F.col("doc_id").alias(_ROW), "component_id"), _ROW), "member")
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW))
+        groups = member.groupBy("component_id").agg(F.count("*").alias("n"), first[_ROW].alias("stays")).where("n > 1").select("component_id", "stays")
+        dropped = member.join(groups, "component_id").where(F.col(_ROW) != F.col("stays")).select(_ROW)
+    dropped = written(dropped, "dropped")
     near = F.broadcast if neardup.fits(dropped, neardup.NearDup().broadcast) else (lambda df: df)
-    return rows.join(near(dropped), _ROW, "left_anti").select(*docs.columns)
+    return rows.join(near(dropped), own, "left_anti").select(*docs.columns)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
