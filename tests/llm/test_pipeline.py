@@ -41,6 +41,8 @@ def test_stages(spark, tmp_path):
     odd = spark.createDataFrame([(9, text[1], "en"), (3, text[0], "de"), (3, text[2], "de"), (None, text[2], "x"), (None, text[6], "x"), (None, text[6], "x"), (4, text[1], "x"), (None, None, "x"), (5, "", "x")], "doc_id long, text string, lang string")
     left = stage(spark, tmp_path / "odd", "near duplicates", odd).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in left) == sorted([(3, text[0]), (3, text[2]), (-1, text[6]), (4, text[1]), (-1, ""), (5, "")])
+    once = docs.dropDuplicates(["doc_id"])
+    assert sorted(r.doc_id for r in stage(spark, tmp_path / "once", "near duplicates", once.where("doc_id < 15")).collect()) == list(range(12))
     three = stage(spark, tmp_path, "personal data", docs.where("doc_id = 14 or doc_id = 15"))
     text = {r.doc_id: (r.text, r.n_chars) for r in three.collect()}
     assert text[14][0].endswith("mail [EMAIL] or [IP]") and text[14][1] == len(text[14][0]) and text[15] == (None, None)
