@@ -6,10 +6,14 @@ the headers are small tables of their own, written through Spark, so they can li
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources import files
+
 #: Fixed value: the highest rate of failures a release may have.
 MAX_RATE = 0.05
 
@@ -36,6 +40,23 @@ def gates(counters: dict[str, float], missing_days: int, span_violations: int, h
     return [name for name, failed in tests.items() if failed]
 
 
+def same_system(measured: Column, current: Column, parts: list[str]) -> Column:
+    """Whether an evaluation measured the current system: all parts equal, nulls included; nothing measured is another system."""
+    equal = reduce(lambda a, b: a & b, [measured[p].eqNullSafe(current[p]) for p in parts])
+    return measured.isNotNull() & equal
+
+
+def export(rows: DataFrame, path: str, rules: dict[str, str]) -> int:
+    """Writes rows as CSV if none of their cells fits a rule of personal data; returns the number of hits, and writes nothing if there are any."""
+    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
+    fits = lambda r: F.size(F.filter(cells, lambda x: x.rlike(r)))
+    hits = [fits(r) for r in rules.values()]
+    found = rows.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, hits)), F.lit(0)).alias("n")).first()["n"]
+    if not found:
+        files.write_csv(rows, path)
+    return found
+
+
 class Store:
     """Tables below a path, partitioned by ``release_id``."""
 

@@ -160,3 +160,15 @@ def agreement(spark, sf_dir):
     return d.agg(
         F.round(F.avg(F.abs(F.col("quality") - F.col("toxic"))), 9).alias("mean_delta"), F.count_if(F.col("quality") != F.col("toxic")).alias("flips"), F.count_if(F.col("quality") == F.col("toxic")).alias("agree"), F.round(F.avg("quality"), 9).alias("hit_rate")
     )
+
+
+@query("""with s as (select doc_id, case when doc_id % 11 = 3 then null when doc_id % 4 = 0 then 'eligible' else 'not_a_round' end as outcome from documents), l as (select max(doc_id) as last from s where outcome is not null)
+ select coalesce(outcome, 'unscreened') as outcome, count(*) as n, min(doc_id) as first_rank from s, l where doc_id <= last group by 1""")
+def screening(spark, sf_dir):
+    """Outcomes of a screening in seeded order up to its last screened rank; what lies unscreened before it is a gap."""
+    rank = F.col("doc_id")
+    outcome = F.when(rank % 11 == 3, None).when(rank % 4 == 0, "eligible").otherwise("not_a_round")
+    s = tables.table(spark, sf_dir, "documents").select("doc_id", outcome.alias("outcome"))
+    last = s.where("outcome is not null").agg(F.max("doc_id").alias("last")).select("last").scalar()
+    upto = s.where(rank <= last)
+    return upto.groupBy(F.coalesce("outcome", F.lit("unscreened")).alias("outcome")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_rank"))

@@ -63,3 +63,10 @@ class _Pages(DataSourceReader):
             raise ValueError(f"page {partition.value} has {len(page['items'])} of {expected} items")
         for x in page["items"]:
             yield x["id"], x["language"], x["published_at"]
+
+
+def sheet(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """(n, one column for each field) of a label sheet: a block for each line ``## A<n>``, a field for each line ``- field: value``; null where missing or empty."""
+    blocks = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"(?m)^## ")).alias("place", "block")).where("place > 0")
+    said = lambda k: F.nullif(F.trim(F.regexp_extract("block", rf"(?m)^- {k}:[ \t]*(.*)$", 1)), F.lit(""))
+    return blocks.select(F.regexp_extract("block", r"^A?(\d+)", 1).try_cast("int").alias("n"), *[said(k).alias(k) for k in fields])
