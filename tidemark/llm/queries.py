@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import align, katz, langid, linededup, mixing, neardup, packing, pii, quality, sketch, tokens, urls
+from tidemark.llm import align, katz, langid, linededup, mixing, neardup, packing, pii, quality, sketch, spelling, tokens, urls
 from tidemark.llm.common import documents, remainder
 
 
@@ -75,13 +75,18 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(documents(spark, sf_dir), noise=31)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_katz, op4_packing, op5_quality, op6_mixing, op7_neardup, op8_personal_data, op9_language, op10_urls, op11_alignment, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_katz, op4_packing, op5_quality, op6_mixing, op7_neardup, op8_personal_data, op9_language, op10_urls, op11_alignment, op12_spelling, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
