@@ -713,7 +713,7 @@ def test_queries_on_odd_tables(spark, tmp_path, rows):
     pages = [(k, t, t, "clash") for k, t in rows]
     spark.createDataFrame(pages, "page_id long, url string, html string, verdict string").write.parquet(str(tmp_path / "pages.parquet"))
     for name, query in __spark_entry__.queries().items():
-        if name.startswith("op"):
+        if name.startswith("op") and name != "op12_spelling":  # its rows are words; its own tests have odd tables
             got = query(spark, str(tmp_path)).collect()
             key = "page_id" if name.startswith("op10") else "doc_id"
             assert collections.Counter(r[key] for r in got) >= collections.Counter(k for k, _ in rows), name

@@ -59,7 +59,7 @@ class Spelling:
     sample: int = 400_000
     sample_of_cell: int = 32
     #: Words in a leaf of a cell's tree.
-    leaf: int = 32
+    leaf: int = 64
 
 
 def word_counts(docs: DataFrame, how: Spelling = Spelling(), noise: int | None = None) -> DataFrame:  # noqa: B008
@@ -90,6 +90,14 @@ def vectors(rows: np.ndarray) -> np.ndarray:
     return planes
 
 
+def more(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many more letters vectors ``a`` count than ``b``, over the coordinates where they count more."""
+    out = np.bitwise_count(a[0] & ~b[0])
+    for k in range(1, PLANES):
+        out += np.bitwise_count(a[k] & ~b[k])  # at most 192, so bytes hold it
+    return out
+
+
 class Tree:
     """A k-d tree over unary vectors. ``tight``: nodes' boxes are those of their members, else what the splits leave."""
 
@@ -129,9 +137,7 @@ class Tree:
         while todo:
             node, who = todo.pop()
             own = queries[:, who]
-            far_up = np.bitwise_count(self.lo[node][:, None] & ~own).sum(axis=0)
-            far_down = np.bitwise_count(own & ~self.hi[node][:, None]).sum(axis=0)
-            who = who[(far_up <= up) & (far_down <= down)]
+            who = who[(more(self.lo[node][:, None], own) <= up) & (more(own, self.hi[node][:, None]) <= down)]
             if len(who):
                 if self.children[node]:
                     todo += [(child, who) for child in self.children[node]]
@@ -149,8 +155,7 @@ def near_pairs(tree: Tree, points: np.ndarray, rows: np.ndarray, q_points: np.nd
         for k in range(0, len(who), step):
             part = who[k : k + step]
             p, q = points[:, None, members], q_points[:, part, None]
-            close = np.bitwise_count(p & ~q).sum(axis=0) <= 1
-            close &= np.bitwise_count(q & ~p).sum(axis=0) <= int(same)
+            close = (more(p, q) <= 1) & (more(q, p) <= int(same))
             at_q, at_p = np.nonzero(close)
             at_q, at_p = part[at_q], members[at_p]
             for j in range(0, len(at_q), _BLOCK):
