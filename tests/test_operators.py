@@ -108,7 +108,7 @@ def test_gazette_quarantine_and_band(spark):
 
 
 def test_clauses_stay_inside_the_text(spark):
-    raw = spark.createDataFrame([(XML.format(id="a", sub="HR02", text="Statuten vom 1.2.2026. Zweck: Handel. Aktien Nr. 5 neu.", form="0106", form0="0106", after="1", before="1", old="x"),)], "xml string")
+    raw = spark.createDataFrame([(XML.format(id="a", sub="HR02", text="Statuten neu: 1.2.2026. Zweck: Handel. Aktien neu: Nr. 5 alt.", form="0106", form0="0106", after="1", before="1", old="x"),)], "xml string")
     p = gazette.publications(raw)
     body = p.first().text
     rows = gazette.clauses(p).orderBy("seq").collect()

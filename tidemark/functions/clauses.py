@@ -94,20 +94,26 @@ def pieces(body: Column) -> Column:
     return F.split(F.regexp_replace(F.replace(body, F.lit(_MARK), F.lit(" ")), ends, "." + _MARK), _MARK)
 
 
-def clauses(body: Column) -> Column:
-    """Array of (kind, text, start, end). A blank text has none, a null one null."""
+def spans(body: Column) -> Column:
+    """Array of (text, start): the clauses without their kinds."""
 
     def said(piece: Column, place: Column) -> Column:
-        # the white space before a clause is no part of it, but for the first; the last one ends with its last letter
+        # the white space before a clause is no part of it, but for the first
         lead = F.when(place == 0, 0).otherwise(F.length(F.regexp_extract(piece, f"^{SPACE}+", 0)))
-        bare = F.regexp_replace(F.substring(piece, lead + 1, F.length(piece)), f"{SPACE}+$", "")
-        return F.struct(bare.alias("text"), lead.alias("lead"), F.length(piece).alias("size"))
+        return F.struct(F.substring(piece, lead + 1, F.length(piece)).alias("text"), lead.alias("lead"), F.length(piece).alias("size"))
 
     def placed(rows: Column) -> Column:
         """Each piece with the length of all before it."""
         begins = F.aggregate(rows, F.array(F.lit(0)), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["size"])))
         return F.zip_with(rows, F.slice(begins, 1, F.size(rows)), lambda x, at: F.struct(x["text"].alias("text"), (at + x["lead"]).alias("start")))
 
+    ended = F.regexp_replace(body, f"{SPACE}+$", "")
+    return F.filter(let(F.transform(pieces(ended), said), placed), lambda x: x["text"] != "")
+
+
+def clauses(body: Column) -> Column:
+    """Array of (kind, text, start, end). A blank text has none, a null one null."""
+
     def told(rows: Column, may: Column) -> Column:
         one = lambda x, k: F.struct(_kind(x["text"], k, may).alias("kind"), x["text"].alias("text"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"))
         return F.transform(rows, one)
@@ -117,6 +123,5 @@ def clauses(body: Column) -> Column:
         second = lambda x, k: (k == 1) & (F.get(rows, F.lit(0))["kind"] == "correction") & x["text"].rlike(java(UID))
         return F.transform(rows, lambda x, k: F.when(second(x, k), x.withField("kind", F.lit("header"))).otherwise(x))
 
-    placed_rows = let(F.transform(pieces(body), said), placed)
-    filled = F.filter(placed_rows, lambda x: x["text"] != "")
-    return let(let(F.struct(filled.alias("rows"), _may(body).alias("may")), lambda x: told(x["rows"], x["may"])), headed)
+    both = F.struct(spans(body).alias("rows"), _may(body).alias("may"))
+    return F.when(body.isNotNull(), let(let(both, lambda x: told(x["rows"], x["may"])), headed))

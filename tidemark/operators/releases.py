@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import clauses as clause
+from tidemark.operators import names as listed
 from tidemark.sources import files
 
 #: Fixed value: the highest rate of failures a release may have.
@@ -46,14 +48,33 @@ def same_system(measured: Column, current: Column, parts: list[str]) -> Column:
     return measured.isNotNull() & equal
 
 
-def export(rows: DataFrame, path: str, rules: dict[str, str]) -> int:
-    """Writes rows as CSV if none of their cells fits a rule of personal data; returns the number of hits, and writes nothing if there are any."""
-    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
-    fits = lambda r: F.size(F.filter(cells, lambda x: x.rlike(r)))
-    hits = [fits(r) for r in rules.values()]
-    found = rows.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, hits)), F.lit(0)).alias("n")).first()["n"]
+def personal_cells(rows: DataFrame, rules: dict[str, str] | None = None, names: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(row, cell, rule) of every cell that fits a rule of personal data or holds a listed name (n, name) of four characters or more.
+
+    Without ``rules`` the five of the gate. Rows are numbered as they come. Cells of the columns in ``skip`` are not looked at.
+    """
+    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), *[c for c in rows.columns if c != "_row"])
+    every = listed.cells(numbered, "_row", skip)
+    met = clause.personal_data(F.col("value")) if rules is None else F.array_compact(F.array(*[F.when(F.col("value").rlike(p), F.lit(r)) for r, p in rules.items()]))
+    hits = every.select(F.col("_row").alias("row"), "cell", F.explode(met).alias("rule"))
+    if names is not None:
+        found = listed.occurrences(every, names, anywhere=True).select(F.col("_row").alias("row"), "cell").distinct()
+        hits = hits.unionByName(found.withColumn("rule", F.lit("listed person name")))
+    return hits
+
+
+def export(rows: DataFrame, path: str, rules: dict[str, str] | None = None, names: DataFrame | None = None, skip: tuple[str, ...] = ()) -> int:
+    """Writes rows as CSV if no cell fails the gate of personal data; returns the number of hits, and writes nothing if there are any.
+
+    The rows are staged beside the path first, so what is checked is what is written.
+    """
+    spark = rows.sparkSession
+    staging = f"{path.rstrip('/')}.staging"
+    rows.write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    found = personal_cells(staged, rules, names, skip).count()
     if not found:
-        files.write_csv(rows, path)
+        files.write_csv(staged, path)
     return found
 
 

@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import clauses as clause
 from tidemark.functions import dates, text
 
 #: Wording of the events, in three languages.
 BAND = r"(?i)Kapitalband|marge de fluctuation|margine di variazione"
 BAND_GONE = r"(?i)aufgehoben|supprimé|soppresso"
-SET_OFF = r"(?iu)Verrechnung (?:einer |von |der )?Forderung|durch Verrechnung(?! mit)|compensation (?:de |des |d['’]une )créance|compensazione (?:di |del |dei )credit"
+SET_OFF = (
+    r"(?iu)Verrechnung (?:einer |von |der )?Forderung|Forderung(?:en)?(?![A-Za-z0-9_])[\s\S]{0,160}?(?:verrechnet|zur Verrechnung(?!\s+mit\s+(?:dem\s+|den\s+)?(?:Bilanzverlust|Verlust|Unterbilanz)))"
+    r"|durch Verrechnung(?! mit)|compensation (?:de |d['’]une |des )créances?|compensazione (?:di |del |dei )credit"
+)
 IN_KIND = r"(?iu)Sacheinlage|Sachübernahme|apport en nature|reprise de biens|conferimento in natura|assunzione di beni"
 CONDITIONAL = r"(?iu)aus bedingtem (?:Aktien)?Kapital|au moyen d['’]un capital conditionnel|mediante (?:il )?capitale condizionale"
 CASH = r"(?iu)\bin bar\b|en espèces|in contanti"
@@ -23,6 +27,8 @@ AT_ONCE = r"(?iu)gleichzeitig|Wiedererhöhung|simultané|immédiatement|contempo
 RESERVES = r"(?iu)frei verwendbare[sn]? Eigenkapital|Umwandlung von Reserven|incorporation de réserves|capitale proprio liberamente disponibile"
 CORRECTION = r"(?i)^(?:Berichtigung|Rectification|Rettifica)\b"
 CANCELLED = r"(?iu)(?:annulliert|aufgehoben|annulée?|annullata)[^0-9]{0,200}([0-9]{10})"
+#: Notices that a clause or a qualified fact was removed, or that shares were paid up later; they tell of other events.
+REMOVED = r"(?iu)^(?:Suppression de la|Radiation de la|Streichung der|Soppressione della|Die Bestimmung über die (?:Sacheinlage|Sachübernahme)|Nachträgliche (?:Voll)?[Ll]iberierung|Le capital-actions a été libéré ultérieurement|libéré ultérieurement)"
 ITEMS = r"(\d[\d’']*)\s+([^\d,;\[\]]*?(?:[Aa]ktien|actions?|azioni)[^\d,;\[\]]*?)\s*(?:zu|de|da)\s+(CHF|EUR|USD|GBP)\s+([\d’'.]*\d)"
 #: Where a text states its shares (now, formerly), by language; the second wording states them without a "before".
 STATED = {
@@ -39,21 +45,6 @@ SET_OFF_SHARES = r"(?iu)(?:wofür|il est remis|per cui)\s+(\d[\d’']*)\s+(?:[\p
 ADOPTION = r"(?iu)(?<![\p{L}])(?:beschlossen|eingeführt|geändert|aufgehoben|introduit une clause|modifié une clause|supprimé une clause|ha introdotto|ha modificato|ha soppresso)(?![\p{L}])"
 REDENOMINATION = r"(?iu)monnaie du capital[\s\S]{0,200}?(?:a été )?converti|Währung des (?:Aktien)?[Kk]apitals[\s\S]{0,200}?(?:umgestellt|umgewandelt|geändert)|Umstellung (?:der Währung|des Aktienkapitals auf)|valuta del capitale[\s\S]{0,200}?convertit"
 CURRENCY_BEFORE = r"(?iu)monnaie du capital-actions de\s+(CHF|EUR|USD|GBP)\b"
-#: Abbreviations that end no sentence.
-SHORT = "Nr|No|Art|art|al|lit|bzw|ca|resp|Ziff|cf|vgl|St|Fr|Hr|Dr|Prof|Mme"
-#: Kinds of clauses, the first that fits counts.
-CLAUSES = (
-    ("correction", CORRECTION),
-    ("person", r"(?iu)\b(?:Eingetragene Personen|Personne|Mitglied|Präsident|administrateur|membro|signature|Unterschrift)"),
-    ("statutes", r"(?iu)^(?:Statuten|Statuts|Statuti)"),
-    ("purpose", r"(?iu)^(?:Zweck|But|Scopo)"),
-    ("name", r"(?iu)^(?:Firma neu|Nouvelle raison|Nuova ragione)"),
-    ("conversion", r"(?iu)Umwandlung|umgewandelt|transform|trasform"),
-    ("band", BAND),
-    ("contribution", SET_OFF + "|" + IN_KIND.removeprefix("(?iu)") + "|" + CONDITIONAL.removeprefix("(?iu)")),
-    ("shares", r"(?iu)Aktien|actions|azioni"),
-    ("capital", r"(?iu)kapital|capital"),
-)
 
 
 def at(*path: str) -> Column:
@@ -81,24 +72,15 @@ def split(published: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def active(body: Column) -> Column:
-    """Without former text in brackets."""
-    return F.regexp_replace(body, r"\[[^\]]*\]", " ")
+    """What the entry does: without former text in brackets and without notices of removed clauses."""
+    said = F.filter(F.transform(clause.spans(body), lambda c: c["text"]), lambda t: ~t.rlike(REMOVED))
+    return F.regexp_replace(F.array_join(said, " "), r"\[[^\]]*\]", " ")
 
 
 def clauses(published: DataFrame) -> DataFrame:
-    """(id, seq, kind, clause, start, end): sentences with their place in the text.
-
-    A boundary is a full stop before a capital or a bracket, unless an abbreviation or the number of a day precedes it.
-    """
-    marked = F.regexp_replace("text", rf"(?<!\b(?:{SHORT}))(?<!\b\d{{1,2}})\.\s(?=[\p{{Lu}}\[])", ".\x01")
-    parts = published.select("id", F.posexplode(F.split(marked, "\x01")).alias("seq", "clause"))
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum(F.length("clause") + 1).over(Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    kind = F.lit("other")
-    for name, rule in reversed(CLAUSES):
-        kind = F.when(F.col("clause").rlike(rule), name).otherwise(kind)
-    return parts.select("id", "seq", kind.alias("kind"), "clause", before.alias("start"), (before + F.length("clause")).cast("int").alias("end"))
+    """(id, seq, kind, clause, start, end): the clauses of each text with their place in it; no exchange."""
+    parts = published.select("id", F.posexplode(clause.clauses(F.coalesce("text", F.lit("")))).alias("seq", "c"))
+    return parts.select("id", "seq", "c.kind", F.col("c.text").alias("clause"), "c.start", "c.end")
 
 
 def share_classes(body: Column) -> Column:
@@ -159,13 +141,13 @@ def currency_before(body: Column, before_classes: Column, after_classes: Column)
 def contribution(body: Column, issued: Column | None = None) -> Column:
     """How an increase was paid; cash if nothing else is said.
 
-    A set-off for fewer shares than were issued leaves the rest to cash. A sentence that only adopts conditional capital issues nothing.
+    A set-off for fewer shares than were issued leaves the rest to cash. A clause that only adopts conditional capital issues nothing.
+    ``body`` is the active text.
     """
     set_off, in_kind = body.rlike(SET_OFF), body.rlike(IN_KIND)
     covered = text.plain_number(F.coalesce(_first_in(body, SET_OFF_SHARES, 1), _first_in(body, SET_OFF_SHARES, 2))).try_cast("long")
     partial = F.coalesce(covered < issued, F.lit(False)) if issued is not None else F.lit(False)
-    sentences = F.split(body, r"(?<=\.)\s+(?=\p{Lu})")
-    conditional = F.exists(sentences, lambda s: s.rlike(CONDITIONAL) & ~s.rlike(ADOPTION))
+    conditional = F.exists(clause.spans(body), lambda c: c["text"].rlike(CONDITIONAL) & ~c["text"].rlike(ADOPTION))
     return F.when((set_off | in_kind) & (body.rlike(CASH) | partial), "mixed").when(set_off, "set_off").when(in_kind, "in_kind").when(conditional, "conditional_capital").otherwise("cash")
 
 
