@@ -55,18 +55,23 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their personal data replaced by its kind. Null texts stay null."""
+    """All documents, with their personal data replaced by its kind. Null texts stay null, empty ones empty; rows that repeat stay, each masked."""
     return _with_text(pii.detect(docs), docs.columns, "masked_text")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate says."""
+    """Each document as often as its fitted rate says.
+
+    The domains are learned from the labelled rows of the raw documents, as the quality stage takes most of one domain
+    out. A domain is asked for at most twice the tokens that are left of it. Rows without text have no tokens: they
+    stay as they are rated, like all others; equal rows are repeated equally; no rows give none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return mixing.resampled(mixing.mix(docs, labels), docs.columns)
+    return mixing.resampled(mixing.mix(docs, labels, mixing.Mix(max_rise=2.0), learn_from=documents(spark, sf_dir)), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens. A null or empty text is its end alone; repeated rows are packed each; no rows give none."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, drops_blanks=False)
 
 

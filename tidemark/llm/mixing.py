@@ -47,6 +47,9 @@ class Mix:
     steps: int = 40
     #: Tokens wanted in all; unset: as many as keep the rate of the domain with the largest target near 1.
     budget: float | None = None
+    #: A domain's target asks for at most so many times the tokens that it has, but for the domain with the largest one; unset: no bound.
+    #: What is left of a domain then isn't repeated without end to stand for what is gone.
+    max_rise: float | None = None
 
     @property
     def cells(self) -> int:
@@ -114,7 +117,8 @@ def learn(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> Classifier:
     chosen = known.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "_domain").limit(how.max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows are sent
     rows = with_evidence(rows, ["doc_id", "_domain"], how).select("doc_id", "_domain", F.array_join(F.array_sort("_cells"), " ").alias("cells"))
-    got = sorted(map(tuple, rows.dropDuplicates(["doc_id", "_domain"]).collect()))
+    # of a repeated id the text whose cells come first, whichever task read it
+    got = sorted(map(tuple, rows.groupBy("doc_id", "_domain").agg(F.min("cells")).collect()))
     if not got:
         return Classifier(np.zeros(len(DOMAINS)), None)
     return softmax_regression([np.array(c.split(), np.int64) for _, _, c in got], np.array([DOMAINS.index(d) for _, d, _ in got]), how)
@@ -188,6 +192,8 @@ def fit(posteriors: DataFrame, how: Mix = Mix()) -> Fit:
     lead = int(target.argmax())
     budget = how.budget if how.budget is not None else have[lead] / max(target[lead], 1e-9)
     wanted = target * budget
+    if how.max_rise is not None:
+        wanted = np.where(np.arange(len(DOMAINS)) == lead, wanted, np.minimum(wanted, how.max_rise * have))
     steepest = max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300)
     moves: list[tuple[float, ...]] = []
     got, met, enough = have, False, how.tolerance * max(budget, 1e-9)
@@ -212,16 +218,26 @@ def fit(posteriors: DataFrame, how: Mix = Mix()) -> Fit:
     return Fit(moves, wanted, got, met)
 
 
-def mix(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """``docs`` with n_tokens, the posteriors and the fitted rate. Posteriors are computed once, and written with the documents."""
-    told = written(with_posteriors(docs, learn(docs, labels, how), how), "posteriors")
-    return told.withColumn("rate", rate(fit(told, how).moves))
+def _rated(told: DataFrame, how: Mix) -> DataFrame:
+    fitted = fit(told, how)
+    return told.withColumn("rate", rate(fitted.moves)).withColumn("targets_met", F.lit(fitted.met))
+
+
+def mix(docs: DataFrame, labels: DataFrame, how: Mix = Mix(), learn_from: DataFrame | None = None) -> DataFrame:
+    """``docs`` with n_tokens, the posteriors, the fitted rate, and whether the rates meet the targets.
+
+    The classifier is learned from the labelled rows of ``learn_from``, such as the documents before a filter took a
+    domain out; unset: of ``docs``. Posteriors are computed once, and written with the documents.
+    """
+    carried = docs.drop("targets_met")
+    told = written(with_posteriors(carried, learn(docs if learn_from is None else learn_from, labels, how), how), "posteriors")
+    return _rated(told, how)
 
 
 def rates(docs: DataFrame, labels: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """(doc_id, n_tokens, posteriors, rate) of every document."""
+    """(doc_id, n_tokens, posteriors, rate, targets_met) of every document."""
     told = written(with_posteriors(docs.select("doc_id", "text"), learn(docs, labels, how), how).drop("text"), "posteriors")
-    return told.withColumn("rate", rate(fit(told, how).moves))
+    return _rated(told, how)
 
 
 def resampled(mixed: DataFrame, columns: list[str], salt: str = "mix") -> DataFrame:

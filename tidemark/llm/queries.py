@@ -46,7 +46,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rates.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate")
+    return rates.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate", "targets_met")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
