@@ -106,16 +106,24 @@ class Store:
         names = [key, *(["status"] if len(values) > 1 else []), "at"]
         self.spark.createDataFrame([(*values, at + 1)], ", ".join(f"{n} {'long' if n == 'at' else 'string'}" for n in names)).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
-    def write(self, release: str, rows: dict[str, DataFrame], failures: list[str]) -> bool:
-        """Writes the rows as the release's partitions; moves the pointer only if no gate failed. Running again replaces the partitions."""
+    def stage(self, release: str, rows: dict[str, DataFrame]) -> None:
+        """Writes the rows as the release's partitions; nobody reads them yet. Running again replaces them."""
         self._log("headers", "id", release, "building")
         for name, df in rows.items():
             df.withColumn("release_id", F.lit(release)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("release_id").parquet(f"{self.path}/{name}")
+
+    def close(self, release: str, failures: list[str]) -> bool:
+        """Marks what was staged, and moves the pointer to it if no gate failed."""
         self._log("headers", "id", release, "failed" if failures else "ready")
         if not failures:
             self.activate(release)
         return not failures
 
+    def write(self, release: str, rows: dict[str, DataFrame], failures: list[str]) -> bool:
+        """Stages the rows and closes the release."""
+        self.stage(release, rows)
+        return self.close(release, failures)
+
     def activate(self, release: str) -> None:
         """Also a rollback; only to a release that is ready."""
         if self.headers().where((F.col("id") == release) & (F.col("status") == "ready")).isEmpty():

@@ -60,7 +60,7 @@ def publications(raw: DataFrame) -> DataFrame:
         F.substring(at("meta", "publicationDate"), 1, 10).try_cast("date").alias("published_at"), F.get(F.split(at("meta", "cantons"), r"[ ,]"), F.lit(0)).alias("canton"),
         F.substring(at("content", "journalDate"), 1, 10).try_cast("date").alias("journal_at"), body.alias("text"),
         text.uid(at("commonsNew", "company", "uid")).alias("uid"), at("commonsNew", "company", "name").alias("name"), at("commonsNew", "company", "legalForm").alias("legal_form"),
-        at("commonsActual", "company", "name").alias("name_before"), at("commonsActual", "company", "legalForm").alias("legal_form_before"), at("commonsNew", "purpose").alias("purpose"),
+        at("commonsActual", "company", "name").alias("name_before"), at("commonsActual", "company", "legalForm").alias("legal_form_before"), at("commonsNew", "purpose").alias("purpose"), at("commonsNew", "company", "seat").alias("seat"),
         text.plain_number(at("commonsNew", "capital", "nominal")).alias("capital_after"), text.plain_number(at("commonsActual", "capital", "nominal")).alias("capital_before"), (at("capitalChanged", "nominal") == "true").alias("flagged"),
     )
 
@@ -151,8 +151,8 @@ def contribution(body: Column, issued: Column | None = None) -> Column:
     return F.when((set_off | in_kind) & (body.rlike(CASH) | partial), "mixed").when(set_off, "set_off").when(in_kind, "in_kind").when(conditional, "conditional_capital").otherwise("cash")
 
 
-def events(published: DataFrame) -> DataFrame:
-    """(event_id, id, seq, uid, type, ...): up to six events of a document, in their fixed order."""
+def _read(published: DataFrame) -> DataFrame:
+    """Each publication with the kinds of its events, in their fixed order, and what they are made of."""
     stated = share_segments(F.col("text"), F.col("language"))
     now = published.withColumn("now", active(F.col("text"))).withColumn("stated", stated)
     now = now.withColumn("after_classes", share_classes(F.col("stated.after"))).withColumn("before_classes", share_classes(F.col("stated.before"))).withColumn("issued", issued_shares(F.col("now")))
@@ -173,15 +173,35 @@ def events(published: DataFrame) -> DataFrame:
         F.when((F.col("legal_form_before") == "0107") & (F.col("legal_form") == "0106"), "conversion_to_ag"), F.when(changed, "capital_change"), F.when(band, "capital_band"), F.when(F.col("name") != F.col("name_before"), "name_change"),
     )
     statute = dates.swiss_day(F.regexp_extract("now", r"(?iu)((?:Statuten|Statuts|Statuti)[^.]{0,60}\d{1,2}[^,;]{0,30}\d{4})", 1))
-    rows = now.select(
-        "*", F.posexplode(F.array_compact(kinds)).alias("seq", "type"), direction.alias("direction"), shares_after.alias("shares_after"), shares_before.alias("shares_before"), cancels.alias("cancels"),
+    return now.select(
+        *published.columns, "now", "issued", "after_classes", "before_classes", F.array_compact(kinds).alias("kinds"), direction.alias("direction"), shares_after.alias("shares_after"), shares_before.alias("shares_before"), cancels.alias("cancels"),
         F.when(band, F.when(F.col("now").rlike(BAND_GONE), "removed").otherwise("adopted")).alias("band_action"), dates.legal_day(statute, F.col("journal_at"), F.col("published_at")).alias("legal_at"),
     )
-    step, of = F.col("type") == "capital_change", lambda t, c: F.when(F.col("type") == t, F.col(c))
-    return rows.select(
-        F.sha2(F.concat_ws(",", "id", F.col("seq").cast("string")), 256).alias("event_id"), "id", "number", "seq", "uid", "type", "published_at", "legal_at", "canton", of("capital_change", "direction").alias("direction"),
-        F.when(step, F.col("capital_before")).alias("capital_before"), F.when(step, F.col("capital_after")).alias("capital_after"), of("capital_change", "shares_before").alias("shares_before"), of("capital_change", "shares_after").alias("shares_after"),
-        F.when(step & (F.col("direction") == "increase"), contribution(F.col("now"), F.coalesce("issued", F.col("shares_after") - F.col("shares_before")))).when(step, "unknown").alias("contribution"), F.when(step, F.col("now").rlike(RESERVES)).alias("from_reserves"), F.when(step, F.col("now").rlike(REDUCTION) & F.col("now").rlike(AT_ONCE)).alias("restructuring_pair"),
-        of("capital_change", "issued").alias("issued"), F.when(step, currency_before(F.col("now"), F.col("before_classes"), F.col("after_classes"))).alias("currency_before"), of("capital_band", "band_action").alias("band_action"), of("cancellation", "cancels").alias("cancels"), F.when(F.col("text").rlike(CORRECTION), F.nullif(F.regexp_extract("text", r"([0-9]{10})", 1), F.lit(""))).alias("corrects"),
-        of("name_change", "name_before").alias("name_before"), of("name_change", "name").alias("name_after"),
+
+
+def _event(kind: Column, seq: Column) -> Column:
+    """An event of a row of ``_read``; what belongs to other kinds is null."""
+    of = lambda t, value: F.when(kind == t, value)
+    step = lambda value: of("capital_change", value)
+    how = F.when(F.col("direction") == "increase", contribution(F.col("now"), F.coalesce("issued", F.col("shares_after") - F.col("shares_before")))).otherwise("unknown")
+    return F.struct(
+        F.sha2(F.concat_ws(",", F.col("id"), seq.cast("string")), 256).alias("event_id"), seq.alias("seq"), kind.alias("type"), step(F.col("direction")).alias("direction"), step(F.col("capital_before")).alias("capital_before"), step(F.col("capital_after")).alias("capital_after"),
+        step(F.col("shares_before")).alias("shares_before"), step(F.col("shares_after")).alias("shares_after"), step(how).alias("contribution"), step(F.col("now").rlike(RESERVES)).alias("from_reserves"), step(F.col("now").rlike(REDUCTION) & F.col("now").rlike(AT_ONCE)).alias("restructuring_pair"),
+        step(F.col("issued")).alias("issued"), step(currency_before(F.col("now"), F.col("before_classes"), F.col("after_classes"))).alias("currency_before"), step(F.array_contains("kinds", "conversion_to_ag")).alias("with_conversion"), of("capital_band", F.col("band_action")).alias("band_action"),
+        of("cancellation", F.col("cancels")).alias("cancels"), F.when(F.col("text").rlike(CORRECTION), F.nullif(F.regexp_extract("text", r"([0-9]{10})", 1), F.lit(""))).alias("corrects"), of("name_change", F.col("name_before")).alias("name_before"), of("name_change", F.col("name")).alias("name_after"),
     )
+
+
+def parsed(published: DataFrame) -> DataFrame:
+    """Each publication with its clauses and ``events``: an array of up to six, in their fixed order. No exchange."""
+    kept = [*published.columns, "legal_at", "after_classes", "before_classes"]
+    return _read(published).select(*kept, clause.clauses(F.col("text")).alias("clauses"), F.transform("kinds", _event).alias("events"))
+
+
+def events(published: DataFrame) -> DataFrame:
+    """(event_id, id, seq, uid, type, ...): up to six events of a document, in their fixed order."""
+    # outer, so that the optimiser infers no filter that would read every text a second time
+    rows = parsed(published).select("id", "number", "uid", "published_at", "legal_at", "canton", F.explode_outer("events").alias("e")).where("e is not null")
+    first = ["event_id", "id", "number", "seq", "uid", "type", "published_at", "legal_at", "canton"]
+    own = [c for c in rows.schema["e"].dataType.names if c not in first]
+    return rows.select("e.event_id", "id", "number", "e.seq", "uid", "e.type", "published_at", "legal_at", "canton", *[f"e.{c}" for c in own])
