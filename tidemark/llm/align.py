@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from tidemark.llm.common import emit, written
 
 #: A word with the blanks before it, or the blanks at the end. Neither vocabulary joins what lies on both sides of such a cut.
 _SEGMENT = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
+#: The same, with the marks that end a word of Latin letters cut off, for a B without pieces that hold both.
+_CUT = re.compile(r"[ \t\n]*[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+(?=[.,;:!?]+(?:[ \t\n]|\Z))|[.,;:!?]+(?=[ \t\n]|\Z)|[ \t\n]*[^ \t\n]+|[ \t\n]+")
+_CROSSES = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF][.,;:!?]")
 #: Texts with these are tokenised whole: other white space, control characters, and the mark that stands for a space in pieces.
 _WHOLE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u2581\u3000\ufeff]")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -40,8 +44,8 @@ _SPACE_PIECE = "\u2581"
 
 @dataclass(frozen=True)
 class Alignment:
-    #: Segments whose alignment a worker keeps; the cache is emptied when full.
-    cache: int = 300_000
+    #: Segments whose alignment a worker keeps, in two halves: when one is full, the other is emptied.
+    cache: int = 400_000
     #: Characters of text after which a block is closed, at the end of a text.
     block: int = 6_000_000
 
@@ -70,49 +74,62 @@ class Aligner:
         self.bytes_a = {i: bytes(letter[c] for c in t) for t, i in vocab.items() if all(c in letter for c in t)}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace(_SPACE_PIECE, " ").encode() for p in pieces]
-        self.space_b = self.b.piece_to_id(_SPACE_PIECE)
+        self.space_b, self.x_b = self.b.piece_to_id(_SPACE_PIECE), self.b.piece_to_id(_SPACE_PIECE + "x")
+        self.segment = _SEGMENT if any(_CROSSES.search(p) for p in pieces) else _CUT
         self.cache: dict[str, tuple | None] = {}
-
-    def aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """(A's tokens, B's, groups, the groups spelled out, codes of the linked pairs); None where the bytes differ from ``raw``."""
-        of_a, of_b = [self.bytes_a.get(x, b"") for x in a], [self.bytes_b[x] for x in b]
-        if not raw or b"".join(of_a) != raw or b"".join(of_b) != raw or not all(of_a) or not all(of_b):
-            return None
-        if len(a) == len(b) == 1:
-            return 1, 1, 1, f"{a[0]}|{b[0]}", (a[0] << 32 | b[0],)
-        said, codes, i, j, from_i, from_j, at_a, at_b = [], [], 0, 0, 0, 0, len(of_a[0]), len(of_b[0])
-        while True:
-            if at_a == at_b:
-                said.append(",".join(map(str, a[from_i : i + 1])) + "|" + ",".join(map(str, b[from_j : j + 1])))
-                codes.append(a[i] << 32 | b[j])
-                i, j = from_i, from_j = i + 1, j + 1
-                if i == len(a):
-                    return len(a), len(b), len(codes), ";".join(said), tuple(codes)
-                at_a, at_b = at_a + len(of_a[i]), at_b + len(of_b[j])
-            elif at_a < at_b:
-                i += 1
-                at_a += len(of_a[i])
-            else:
-                j += 1
-                at_b += len(of_b[j])
+        self.old: dict[str, tuple | None] = {}
+
+    def aligned(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
+        """For each text: (A's tokens, B's, groups, the groups spelled out, codes of the linked pairs); None where the bytes differ.
+
+        Where all bytes agree the texts lie end to end: one run of tokens, with a common end after each text.
+        """
+        n_a, n_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+        ids_a, ids_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        raw = "".join(texts).encode()
+        of_a, of_b = [self.bytes_a.get(x, b"") for x in ids_a], [self.bytes_b[x] for x in ids_b]
+        end_a, end_b = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (of_a, of_b))
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        own = n_a.all() and n_b.all() and all(of_a) and all(of_b) and b"".join(of_a) == raw and b"".join(of_b) == raw
+        if not own or (end_a[np.cumsum(n_a) - 1] != ends).any() or (end_b[np.cumsum(n_b) - 1] != ends).any():
+            return [None] if len(texts) == 1 else [x for t, i, j in zip(texts, a, b, strict=True) for x in self.aligned([t], [i], [j])]
+        at = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at] == end_a)  # of each group
+        last_b = at[last_a]
+        codes = (np.asarray(ids_a, np.int64)[last_a] << 32 | np.asarray(ids_b, np.int64)[last_b]).tolist()
+        said_a, said_b = list(map(str, ids_a)), list(map(str, ids_b))
+        to_a, to_b = [0, *(last_a + 1).tolist()], [0, *(last_b + 1).tolist()]
+        said = [",".join(said_a[i:j]) + "|" + ",".join(said_b[p:q]) for i, j, p, q in zip(to_a, to_a[1:], to_b, to_b[1:])]  # noqa: B905
+        ends = [0, *(np.searchsorted(last_a, np.cumsum(n_a) - 1) + 1).tolist()]
+        return [(x, y, j - i, ";".join(said[i:j]), tuple(codes[i:j])) for x, y, i, j in zip(n_a.tolist(), n_b.tolist(), ends, ends[1:])]  # noqa: B905
 
     def whole(self, text: str) -> tuple | None:
-        return self.aligned(f" {text}".encode(), self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text))
+        return self.aligned([f" {text}"], [self.a.encode(f" {text}", add_special_tokens=False).ids], [self.b.encode(text)])[0] if text else None
+
+    def segments(self, text: str) -> list[str]:
+        return self.segment.findall(" " + text)
 
     def learn(self, segments: set[str]) -> None:
-        """Adds the alignments of segments to the cache; each starts with a blank."""
-        if len(self.cache) + len(segments) > self.how.cache:
-            self.cache.clear()
-        new = [s for s in segments if s not in self.cache]
-        of_a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        # B puts a space before what it gets: it stands for a segment's own, and is taken off where the first blank is another
-        of_b = self.b.encode([s[1:] if s[0] == " " else s for s in new], num_threads=1)
-        for s, a, b in zip(new, of_a, of_b, strict=True):
+        """Adds the alignments of segments to the cache; each starts with a blank, or is the marks after a word."""
+        if len(self.cache) + len(segments) > self.how.cache // 2:
+            self.cache, self.old = {}, self.cache
+        new = []
+        for s in segments.difference(self.cache):
+            if s in self.old:
+                self.cache[s] = self.old[s]
+            else:
+                new.append(s)
+        if not new:
+            return
+        of_a = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        # B puts a space before what it gets: it stands for a segment's own, or goes with a first letter or blank
+        of_b = self.b.encode([s[1:] if s[0] == " " else s if s[0] in "\t\n" else "x" + s for s in new], num_threads=1)
+        for k, s in enumerate(new):
             if s == " ":
-                b = [self.space_b]
+                of_b[k] = [self.space_b]
             elif s[0] != " ":
-                b = b[1:] if b[:1] == [self.space_b] else []
-            self.cache[s] = self.aligned(s.encode(), a.ids, b)
+                of_b[k] = of_b[k][1:] if of_b[k][:1] == [self.space_b if s[0] in "\t\n" else self.x_b] else []
+        self.cache.update(zip(new, self.aligned(new, of_a, of_b), strict=True))
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
@@ -187,22 +204,21 @@ def _blocks(texts: DataFrame, path_a: str, path_b: str, how: Alignment) -> DataF
         for batch in batches:
             for row in range(0, batch.num_rows, 256):
                 part = batch.slice(row, 256)
-                rows = [(*x, None if _WHOLE.search(x[1]) else _SEGMENT.findall(" " + x[1])) for x in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)]
+                rows = [(*x, None if _WHOLE.search(x[1]) else both.segments(x[1])) for x in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)]
                 both.learn({s for *_, segments in rows if segments for s in segments})
                 for digest, text, times, segments in rows:
                     if segments is None:
                         entry = both.whole(text)
                         numbers = [block.number_of(digest, entry)] if entry else []
                     else:
-                        numbers = []
-                        for s in segments:
-                            n = block.of.get(s)
-                            if n is None:
-                                if both.cache[s] is None:
-                                    numbers = []
-                                    break
-                                n = block.number_of(s, both.cache[s])
-                            numbers.append(n)
+                        numbers = list(map(block.of.get, segments))
+                        if None in numbers:
+                            if any(both.cache[s] is None for s, n in zip(segments, numbers, strict=True) if n is None):
+                                numbers = []
+                            for k, n in enumerate(numbers):
+                                if n is None:
+                                    s = segments[k]
+                                    numbers[k] = block.of[s] if s in block.of else block.number_of(s, both.cache[s])
                     block.add(digest, times, numbers, len(text))
                     if block.size >= how.block:
                         yield block.batch()
