@@ -71,6 +71,43 @@ def test_release_store(spark, tmp_path):
         pass
 
 
+def test_two_writers_take_two_numbers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = releases.CommitLog(spark, str(tmp_path / "log"), "who int")
+    with ThreadPoolExecutor(8) as pool:
+        taken = list(pool.map(lambda k: log.take(1, {"who": k}), range(8)))
+        numbers = list(pool.map(lambda k: log.append({"who": k}), range(24)))
+    assert sum(taken) == 1 and sorted(numbers) == list(range(2, 26))
+    (tmp_path / "log" / "0000000099.json").write_text('{"who": 7')  # a lost writer's
+    assert sorted(r.at for r in log.entries().collect()) == list(range(1, 26)) and log.append({"who": 1}) == 100
+
+
+def test_prune_drops_partitions_and_goes_on_where_it_died(spark, tmp_path, monkeypatch):
+    store = releases.Store(spark, str(tmp_path / "s"))
+    row = spark.createDataFrame([(1,)], "x int")
+    for k in range(1, 5):
+        assert store.write(f"r{k}", {"events": row, "assessments": row}, [])
+    store.write("r5", {"events": row, "assessments": row}, ["missing_days"])
+    assert {r.id: r.note for r in store.headers().collect()}["r5"] == "missing_days"
+    marks = releases.Store.mark
+    monkeypatch.setattr(releases.Store, "mark", lambda self, release, status, *a: marks(self, release, status, *a) if status != "pruned" else 1 / 0)
+    try:
+        store.prune(2)
+        raise AssertionError
+    except ZeroDivisionError:
+        monkeypatch.undo()
+    left = lambda t: sorted(r.release_id for r in spark.read.parquet(f"{store.path}/{t}").select("release_id").distinct().collect())
+    assert left("events") == left("assessments") == ["r3", "r4"]
+    assert store.prune(2) == ["r1", "r2", "r5"] and store.prune(2) == []
+    assert {r.id: r.status for r in store.headers().collect()} == {"r1": "pruned", "r2": "pruned", "r3": "ready", "r4": "ready", "r5": "pruned"}
+    try:
+        store.activate("r1")
+        raise AssertionError
+    except ValueError:
+        pass
+
+
 XML = """<hr:publication xmlns:hr="http://x"><meta><id>{id}</id><rubric>HR</rubric><subRubric>{sub}</subRubric><language>de</language><publicationNumber>HR02-1</publicationNumber><publicationDate>2026-09-29T00:00</publicationDate><cantons>ZH</cantons></meta>
 <content><journalDate>2026-09-24</journalDate><publicationText>{text}</publicationText><commonsNew><company><name>Neu AG</name><uid>CHE-123.456.789</uid><legalForm>{form}</legalForm></company><capital><nominal>{after}</nominal></capital></commonsNew>
 <commonsActual><company><name>{old}</name><legalForm>{form0}</legalForm></company><capital><nominal>{before}</nominal></capital></commonsActual></content></hr:publication>"""

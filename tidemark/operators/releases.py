@@ -6,9 +6,10 @@ the headers are small tables of their own, written through Spark, so they can li
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,43 +79,102 @@ def export(rows: DataFrame, path: str, rules: dict[str, str] | None = None, name
     return found
 
 
+class CommitLog:
+    """Numbered entries below a path, a file each, that are created only if their number is free.
+
+    Two writers that want one number can't both have it: creating the file is exclusive, and who comes second takes the
+    next number. An entry that a lost writer left unfinished is no JSON yet and counts as none, though its number stays taken.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _store(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        where = hadoop.Path(self.path)
+        return hadoop, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        hadoop, store = self._store()
+        where = hadoop.Path(self.path)
+        names = [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def take(self, number: int, entry: dict) -> bool:
+        """Creates the entry with just this number; False if it is taken."""
+        hadoop, store = self._store()
+        path, data = f"{self.path}/{number:010d}.json", json.dumps(entry).encode()
+        store.mkdirs(hadoop.Path(self.path))
+        if store.getScheme() == "file":
+            try:
+                with open(store.makeQualified(hadoop.Path(path)).toUri().getPath(), "xb") as f:
+                    f.write(data)
+            except FileExistsError:
+                return False
+            return True
+        try:
+            out = store.create(hadoop.Path(path), False)
+        except Py4JJavaError as e:
+            if not store.exists(hadoop.Path(path)):
+                raise ValueError(f"{path} could not be written") from e
+            return False
+        out.write(bytearray(data))
+        out.close()
+        return True
+
+    def append(self, entry: dict) -> int:
+        """The number that the entry got."""
+        number = max(self._numbers(), default=0) + 1
+        while not self.take(number, entry):
+            number += 1
+        return number
+
+    def entries(self) -> DataFrame:
+        """The finished entries, ``at`` being their numbers."""
+        if not self._numbers():
+            return self.spark.createDataFrame([], f"{self.schema}, at long")
+        read = self.spark.read.schema(f"{self.schema}, _corrupt_record string").option("pathGlobFilter", "[0-9]*.json").json(self.path)
+        rows = read.select("*", F.regexp_extract("_metadata.file_name", "^([0-9]+)", 1).cast("long").alias("at"))
+        return rows.where("_corrupt_record is null").drop("_corrupt_record")
+
+
 class Store:
-    """Tables below a path, partitioned by ``release_id``."""
+    """Tables below a path, partitioned by ``release_id``; headers and the pointer are logs of commits."""
+
+    #: Tables whose rows refer to others come first when a release is deleted.
+    CHILDREN_FIRST = ("confirmations", "assessments", "events", "names")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        self._headers = CommitLog(spark, f"{self.path}/headers", "id string, status string, note string, evaluation string")
+        self._pointer = CommitLog(spark, f"{self.path}/pointer", "release_id string")
 
     def headers(self) -> DataFrame:
-        """(id, status, is_current): the latest status of each release."""
-        log = self._read("headers", "id string, status string, at long")
-        last = log.groupBy("id").agg(F.max_by("status", "at").alias("status"))
+        """(id, status, note, evaluation, is_current): the latest status of each release, and what was last said of it."""
+        log = self._headers.entries()
+        last = log.groupBy("id").agg(F.max_by("status", "at").alias("status"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in ("note", "evaluation")])
         return last.withColumn("is_current", F.coalesce(F.col("id") == F.lit(self.current()), F.lit(False)))
 
     def current(self) -> str | None:
-        """The live release: the pointer's last row."""
-        row = self._read("pointer", "release_id string, at long").agg(F.max_by("release_id", "at").alias("r")).first()
-        return row["r"]
+        """The live release: the pointer's last entry."""
+        return self._pointer.entries().agg(F.max_by("release_id", "at").alias("r")).first()["r"]
 
-    def _log(self, name: str, key: str, *values: str) -> None:
-        at = self._read(name, f"{key} string, at long").agg(F.max("at").alias("n")).first()["n"] or 0
-        names = [key, *(["status"] if len(values) > 1 else []), "at"]
-        self.spark.createDataFrame([(*values, at + 1)], ", ".join(f"{n} {'long' if n == 'at' else 'string'}" for n in names)).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+    def mark(self, release: str, status: str, note: str | None = None, evaluation: str | None = None) -> int:
+        return self._headers.append({"id": release, "status": status, "note": note, "evaluation": evaluation})
 
     def stage(self, release: str, rows: dict[str, DataFrame]) -> None:
-        """Writes the rows as the release's partitions; nobody reads them yet. Running again replaces them."""
-        self._log("headers", "id", release, "building")
-        for name, df in rows.items():
-            df.withColumn("release_id", F.lit(release)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("release_id").parquet(f"{self.path}/{name}")
+        """Writes the rows as the release's partitions; nobody reads them yet. Running again replaces them. A write that fails marks the release as failed."""
+        self.mark(release, "building")
+        try:
+            for name, df in rows.items():
+                df.withColumn("release_id", F.lit(release)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("release_id").parquet(f"{self.path}/{name}")
+        except Exception as e:
+            self.mark(release, "failed", f"write failed: {str(e)[:300]}")
+            raise
 
-    def close(self, release: str, failures: list[str]) -> bool:
+    def close(self, release: str, failures: list[str], evaluation: str | None = None) -> bool:
         """Marks what was staged, and moves the pointer to it if no gate failed."""
-        self._log("headers", "id", release, "failed" if failures else "ready")
+        self.mark(release, "failed" if failures else "ready", ", ".join(failures) or None, evaluation)
         if not failures:
             self.activate(release)
         return not failures
@@ -128,7 +188,24 @@ class Store:
         """Also a rollback; only to a release that is ready."""
         if self.headers().where((F.col("id") == release) & (F.col("status") == "ready")).isEmpty():
             raise ValueError(f"{release} is not ready")
-        self._log("pointer", "release_id", release)
+        self._pointer.append({"release_id": release})
+
+    def prune(self, keep: int, tables: tuple[str, ...] = CHILDREN_FIRST) -> list[str]:
+        """Deletes the partitions of old releases, children first; returns their ids.
+
+        Each is marked before anything of it goes, so nobody can go back to it, and a prune that died is taken up by the next one.
+        """
+        hadoop, store = self._headers._store()
+        stay = self.headers().where("status <> 'pruned'")
+        gone = sorted(r.id for r in to_prune(stay, keep).collect())
+        for release in gone:
+            self.mark(release, "pruning")
+        for name in tables:
+            for release in gone:
+                store.delete(hadoop.Path(f"{self.path}/{name}/release_id={release}"), True)
+        for release in gone:
+            self.mark(release, "pruned")
+        return gone
 
     def read(self, name: str, release: str | None = None) -> DataFrame:
         """A table of the live release, or of another; the partition filter reaches the scan."""
