@@ -6,6 +6,8 @@ written as Parquet and read again. All but the last return the columns of the do
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from tidemark.llm.common import documents, written
 
 #: Some stages can't be expressed in SQL; the pipeline is tested against brute force instead.
 ORACLE_SQL = None
+#: Rows that a stage's Python workers are sent at once, at most; the session is set so: texts are long, and a worker's share of memory is small.
+ROWS_AT_ONCE = 1000
 #: A column of row numbers, under a name that no table has.
 _ROW = "_tidemark_row"
 
@@ -75,7 +79,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, drops_blanks=False)
 
 
-STAGES = [("quality", clean), ("near duplicates", one_of_each), ("personal data", mask), ("mixing", mix), ("packing", pack)]
+def _few_rows(stage):
+    """The stage, run in a session whose workers are sent few rows at once."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if int(spark.conf.get(key)) > ROWS_AT_ONCE:
+            spark.conf.set(key, str(ROWS_AT_ONCE))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _few_rows(stage)) for name, stage in (("quality", clean), ("near duplicates", one_of_each), ("personal data", mask), ("mixing", mix), ("packing", pack))]
+
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

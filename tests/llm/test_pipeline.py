@@ -31,6 +31,7 @@ def stage(spark, tmp_path, name, docs):
 def test_stages(spark, tmp_path):
     spark.createDataFrame([(k, int(k != 18), 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.createDataFrame(rows(), SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))  # mixing learns its domains from the raw documents
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near duplicates", "personal data", "mixing", "packing"]
     one = stage(spark, tmp_path, "quality", docs)
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {*range(15), 19}

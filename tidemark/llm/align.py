@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import emit, written
+from tidemark.llm.katz import _expand, _squeeze
 
 #: A word with the blanks before it, or the blanks at the end. Neither vocabulary joins what lies on both sides of such a cut.
 _SEGMENT = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
@@ -145,11 +146,11 @@ def aligner(path_a: str, path_b: str, how: Alignment) -> Aligner:
 
 _BLOCKS = pa.schema(
     [("block", pa.int64()), ("digest", pa.list_(pa.binary())), ("n_a", pa.list_(pa.int64())), ("n_b", pa.list_(pa.int64())), ("n_groups", pa.list_(pa.int64())), ("groups_sha256", pa.list_(pa.string()))]
-    + [("n_segments", pa.list_(pa.int32())), ("segments", pa.list_(pa.int32())), ("n_links", pa.list_(pa.int32())), ("links", pa.list_(pa.int32())), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
+    + [("n_segments", pa.list_(pa.int32())), ("segments", pa.binary()), ("n_links", pa.list_(pa.int32())), ("links", pa.binary()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
 )
 _BLOCK_DDL = (
     "block long, digest array<binary>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, "
-    "n_segments array<int>, segments array<int>, n_links array<int>, links array<int>, codes array<long>, counts array<long>"
+    "n_segments array<int>, segments binary, n_links array<int>, links binary, codes array<long>, counts array<long>"
 )
 
 
@@ -184,7 +185,7 @@ class _Block:
         codes, links = np.unique(codes, return_inverse=True)
         counts = np.bincount(links, np.repeat(times, n_links), len(codes)).astype(np.int64)
         measures = {n: _sums(np.fromiter((e[k] for e in self.entries), np.int64, len(self.entries))[segments], lens) for k, n in enumerate(("n_a", "n_b", "n_groups"))}
-        one = {"block": self.number, "digest": self.digests, "groups_sha256": self.sha, "n_segments": lens, "segments": segments, "n_links": n_links, "links": links, "codes": codes, "counts": counts} | measures
+        one = {"block": self.number, "digest": self.digests, "groups_sha256": self.sha, "n_segments": lens, "segments": _squeeze(segments.astype(np.uint32)), "n_links": n_links, "links": _squeeze(links.astype(np.uint32)), "codes": codes, "counts": counts} | measures
         return emit(_BLOCKS, {k: [v] for k, v in one.items()})
 
 
@@ -252,7 +253,8 @@ def _measures(blocks: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 of = lambda name: batch.column(batch.schema.get_field_index(name))[row].values  # noqa: B023, E731
-                n_links, links, segments, lens = (of(n).to_numpy().astype(np.int64) for n in ("n_links", "links", "segments", "n_segments"))
+                n_links, lens = (of(n).to_numpy().astype(np.int64) for n in ("n_links", "n_segments"))
+                links, segments = (_expand(batch.column(batch.schema.get_field_index(n))[row].as_py(), np.uint32) for n in ("links", "segments"))
                 count, best = np.zeros(len(of("codes")), np.int64), np.zeros(len(of("codes")), np.int64)
                 if (answer := of("told")) is not None and len(count):
                     at = answer.field("at").to_numpy()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, counted, shuffle_parts, written
+from tidemark.llm.common import as_bytes, counted, shuffle_parts, slices, written
 from tidemark.llm.components import components
 
 
@@ -65,7 +65,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -138,7 +138,7 @@ def profiles(docs: DataFrame, how: NearDup) -> DataFrame:
     """(doc_id, n, key, bands, sig) of every document; bands and signature are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, key, bands, sig = [], [], [], []
             for text in as_bytes(batch.column(1)):
                 own = shingles(text, how.shingle)

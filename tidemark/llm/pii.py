@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import as_bytes
+from tidemark.llm.common import as_bytes, slices
 
 #: Kinds that the patterns find too; the network adds the last.
 PATTERNS = ("email", "ip", "card", "phone")
@@ -436,7 +436,7 @@ def detect(docs: DataFrame, how: Training = Training(), with_text: bool = True)
     schema = T.StructType(carried + [T.StructField(n, t) for n, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(batch.schema.get_field_index("text"))
             texts = as_bytes(column)
             found = find(texts, w)

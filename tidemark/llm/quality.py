@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BLANKS, as_bytes
+from tidemark.llm.common import BLANKS, as_bytes, slices
 
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
@@ -172,7 +172,7 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool
     schema = T.StructType(carried + [T.StructField(n, t) for n, t, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             out = [assess(x, rules) for x in as_bytes(batch.column(at))]
             cols = dict(zip([a[0] for a in _ADDED], zip(*out), strict=True)) if out else {a[0]: () for a in _ADDED}
