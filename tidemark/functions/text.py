@@ -12,7 +12,7 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&n
 #: Accented Latin letters and their bare ones.
 ACCENTED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 #: Legal-form words.
-LEGAL_WORDS = ("ag", "sa", "gmbh", "sarl", "sagl", "ltd", "inc", "holding")
+LEGAL_WORDS = r"\b(?:ag|sa|s\.a\.|gmbh|sarl|sagl|ltd|inc|llc|plc|holding|in liquidation)\b"
 #: Currencies.
 CURRENCIES = ("CHF", "EUR", "USD", "GBP")
 
@@ -44,8 +44,7 @@ def normal_name(name: Column) -> Column:
 
 def name_stem(name: Column) -> Column:
     """The normal name without legal-form words."""
-    words = F.filter(F.split(normal_name(name), " "), lambda w: ~w.isin(*LEGAL_WORDS))
-    return F.array_join(words, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(normal_name(name), LEGAL_WORDS, " "), " +", " "))
 
 
 def contains_words(text: Column, words: Column) -> Column:
@@ -53,15 +52,19 @@ def contains_words(text: Column, words: Column) -> Column:
     return (F.length(words) >= 3) & F.concat(space, text, space).contains(F.concat(space, words, space))
 
 
+# An amount of money in a title, the currency before or after it, and what the words for currencies mean.
+_BEFORE = r"(CHF|USD|EUR|GBP|US\$|\$|€|£)\s?([0-9]+(?:[.,][0-9]+)?)\s?(million|mio\.?|m|billion|bn)(?![A-Za-z0-9_])"
+_AFTER = r"([0-9]+(?:[.,][0-9]+)?)\s?(million|mio\.?|billion|bn)\s?(?:in\s+)?(CHF|francs|swiss francs|USD|dollars|EUR|euros)"
+CURRENCY_WORDS = {"chf": "CHF", "francs": "CHF", "swiss francs": "CHF", "usd": "USD", "us$": "USD", "$": "USD", "dollars": "USD", "eur": "EUR", "€": "EUR", "euros": "EUR", "gbp": "GBP", "£": "GBP"}
+
+
 def stated_amount(title: Column) -> tuple[Column, Column]:
-    """(amount, currency) of ``CHF 4.5 million`` or ``2m EUR``; null where none is stated."""
-    cur, num, unit = r"(CHF|EUR|USD|GBP)", r"([0-9]+(?:[.,][0-9]+)?)", r"(million|billion|mn|bn|m|b)"
-    before, after = rf"{cur} ?{num} ?{unit}\b", rf"{num} ?{unit} ?{cur}"
-    take = lambda p, k: F.nullif(F.regexp_extract(title, p, k), F.lit(""))
-    currency = F.coalesce(take(before, 1), take(after, 3))
-    number = F.coalesce(take(before, 2), take(after, 1))
-    scale = F.lower(F.coalesce(take(before, 3), take(after, 2)))
-    factor = F.when(scale.startswith("b"), F.lit(1_000_000_000)).when(scale.startswith("m"), F.lit(1_000_000))
+    """(amount, currency) of the first amount like ``CHF 4.5 million``, ``US$ 3m`` or ``2 mio francs``; null where none is stated."""
+    take = lambda k: F.nullif(F.regexp_extract(title, f"(?i){_BEFORE}|{_AFTER}", k), F.lit(""))
+    word = F.lower(F.coalesce(take(1), take(6)))
+    currency = F.get(F.filter(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c).alias("c")) for w, c in CURRENCY_WORDS.items()]), lambda x: x["w"] == word), F.lit(0))["c"]
+    number, unit = F.coalesce(take(2), take(4)), F.lower(F.coalesce(take(3), take(5)))
+    factor = F.when(unit.startswith("b"), F.lit(1_000_000_000)).when(unit.startswith("m"), F.lit(1_000_000))
     return F.round(F.replace(number, F.lit(","), F.lit(".")).cast("double") * factor).cast("long"), currency
 
 
@@ -82,7 +85,7 @@ def round_news(title: Column) -> Column:
 
 
 def stage(title: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(title, r"(?i)\b(pre-seed|seed|series [a-e]|bridge|growth)\b", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(title, r"(?i)\b(pre-seed|seed|series [a-f]|bridge|growth)\b", 1)), F.lit(""))
 
 
 def clip(text: Column, n: int) -> Column:

@@ -7,6 +7,8 @@ the headers are small tables of their own, written through Spark, so they can li
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -21,6 +23,20 @@ from tidemark.sources import files
 MAX_RATE = 0.05
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table between steps, below the folder that all machines share (spark.checkpoint.dir).
+
+    Only where that is unset and all runs on one machine, as in tests, a temporary folder is set for the session.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def to_prune(headers: DataFrame, keep: int) -> DataFrame:
     """(id) of what may go: all but the current release, those being built, and the newest ready ones."""
     number = F.substring("id", 2, 10).cast("int")

@@ -28,7 +28,7 @@ def stratified(df: DataFrame, stratum: str, key: str, sizes: dict[str, int], see
 
 
 def generator(seed: int):
-    """A 32-bit mixing generator of numbers from 0 to 1, for small lists on the driver."""
+    """mulberry32, a public 32-bit generator of numbers from 0 to 1, for small lists on the driver."""
     state = seed & 0xFFFFFFFF
 
     def draw() -> float:

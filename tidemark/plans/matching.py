@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import canonical, text
 from tidemark.operators import asof
 from tidemark.plans.catalogue import query
 from tidemark.plans.feed import EV
@@ -54,7 +54,7 @@ def stated_amount(spark, sf_dir):
     """Titles written from the part table and read back."""
     size, cur = F.col("p_size"), F.when(F.col("p_size") % 2 == 0, "CHF").otherwise("EUR")
     number = F.format_string("%.1f", size / 10)
-    said = F.when(size % 4 < 2, F.concat(cur, F.lit(" "), number, F.lit(" million"))).otherwise(F.concat(number, F.lit("m "), cur))
+    said = F.when(size % 4 < 2, F.concat(cur, F.lit(" "), number, F.lit(" million"))).otherwise(F.concat(number, F.lit(" mio "), cur))
     title = F.concat(F.col("p_name"), F.lit(" raises "), said, F.when(size % 3 == 0, " in Seed round").when(size % 3 == 1, " Series A").otherwise(" today"))
     told = tables.table(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
     amount, currency = text.stated_amount(F.col("title"))
@@ -63,8 +63,8 @@ def stated_amount(spark, sf_dir):
 
 @query("with u as (select doc_id from documents where lang = 'de' union all select doc_id from documents where source = 'src0' union all select doc_id from documents where n_chars > 2000) select doc_id, count(*) as listed from u group by 1")
 def source_union_dedupe(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     """One scan: each row says how many of the lists name it."""
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     flags = [F.when(F.expr(c), 1).otherwise(0) for c in ("lang = 'de'", "source = 'src0'", "n_chars > 2000")]
     named = d.select("doc_id", (flags[0] + flags[1] + flags[2]).cast("long").alias("n")).where("n > 0")
     return named.groupBy("doc_id").agg(F.sum("n").alias("listed"))
@@ -80,18 +80,19 @@ def idempotent_append(spark, sf_dir):
     return stored.unionByName(batch(d.where("batch = 2").join(stored.select("input_hash"), "input_hash", "left_anti"), 2))
 
 
-@query("""select p_partkey, sha256('{"brand":"' || p_brand || '","size":' || p_size || ',"type":"' || p_type || '"}') as input_hash from part""")
+@query("""select p_partkey, sha256('{"brand":"' || p_brand || '","of":{"none":null,"note":"é \\"q\\"","size":' || p_size || '},"p_type":"' || p_type || '"}') as input_hash from part""")
 def input_hash(spark, sf_dir):
-    """A canonical JSON text with its keys in order, hashed."""
-    json = F.concat(F.lit('{"brand":"'), "p_brand", F.lit('","size":'), F.col("p_size").cast("string"), F.lit(',"type":"'), "p_type", F.lit('"}'))
-    return tables.table(spark, sf_dir, "part").select("p_partkey", F.sha2(json, 256).alias("input_hash"))
+    """A nested value hashed by its canonical JSON, whatever the order of its fields."""
+    value = F.struct("p_type", F.struct(F.col("p_size").alias("size"), F.lit('é "q"').alias("note"), F.lit(None).cast("string").alias("none")).alias("of"), F.col("p_brand").alias("brand"))
+    return tables.table(spark, sf_dir, "part").select("p_partkey", canonical.fingerprint(value).alias("input_hash"))
 
 
-@query(f"with {EV}, cache as (select k, type, min(event_id) as cached_id from ev where published_at <= date '2024-01-10' group by 1, 2) select e.event_id, c.cached_id, c.cached_id is null as fresh from ev e left join cache c on e.k = c.k and e.type = c.type where e.published_at > date '2024-01-10'")
+@query(f"with {EV}, cache as (select k, type, user_id % 3 as version, min(event_id) as cached_id from ev where published_at <= date '2024-01-10' group by 1, 2, 3) select e.event_id, c.cached_id, c.cached_id is null as fresh from ev e left join cache c on e.k = c.k and e.type = c.type and e.user_id % 3 = c.version where e.published_at > date '2024-01-10'")
 def cache_lookup(spark, sf_dir):
-    e, cut = tables.events(spark, sf_dir), F.lit("2024-01-10").cast("date")
-    cache = e.where(F.col("published_at") <= cut).groupBy("k", "type").agg(F.min("event_id").alias("cached_id"))
-    return e.where(F.col("published_at") > cut).join(cache, ["k", "type"], "left").select("event_id", "cached_id", F.col("cached_id").isNull().alias("fresh"))
+    """Answers are cached by input, model and prompt version; an input asked with another version is fresh."""
+    e, cut = tables.events(spark, sf_dir).withColumn("version", F.col("user_id") % 3), F.lit("2024-01-10").cast("date")
+    cache = e.where(F.col("published_at") <= cut).groupBy("k", "type", "version").agg(F.min("event_id").alias("cached_id"))
+    return e.where(F.col("published_at") > cut).join(cache, ["k", "type", "version"], "left").select("event_id", "cached_id", F.col("cached_id").isNull().alias("fresh"))
 
 
 @query("select l_suppkey, count(*) filter (where l_partkey % 10 = l_suppkey % 10) as own, count(*) filter (where l_partkey % 10 <> l_suppkey % 10) as foreign_mentions from lineitem group by 1")

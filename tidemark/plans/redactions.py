@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import clauses, redaction
-from tidemark.operators import names, releases
+from tidemark.operators import derivation, names, releases
 from tidemark.plans.catalogue import query
 from tidemark.sources import gazette, tables
 
@@ -167,3 +167,29 @@ def removed_clauses(spark, sf_dir):
         _said("Forderungen von CHF ", "n", " kommen zur Verrechnung mit dem Bilanzverlust."),
     )
     return _persons(spark, sf_dir).select("p_partkey", gazette.contribution(gazette.active(told)).alias("contribution"))
+
+
+#: SQL: each customer as an entry of its nation's company: form, capital before and after, purpose, day.
+_ENTRIES = """e as (select c_custkey, c_nationkey, date '2024-01-01' + (c_custkey % 90)::int as day, 100000 + (c_custkey % 7) * 500 as after, c_nationkey % 5 <> 0 as ag, case when c_mktsegment = 'MACHINERY' then 'tech_purpose' end as hit from customer)"""
+
+
+@query(f"""with {_ENTRIES} select case when not ag then 'capital_increased' else 'abstain' end as tier, case when not ag then 'not_ag' end as reject_reason, coalesce(hit, '') as rules, count(*)::bigint as n, count(distinct c_nationkey)::bigint as companies,
+ (select count(*) from customer)::bigint as publications from e where after > 100000 and day between date '2024-01-15' and date '2024-03-15' group by 1, 2, 3""")
+def release_tiers(spark, sf_dir):
+    """A release from gazette XML, written of the customers: parsed once, folded, judged by the rules, with no answers of a scorer yet."""
+    n, key = F.col("c_nationkey"), F.col("c_custkey")
+    part = lambda name, value: F.concat(F.lit(f"<{name}>"), value.cast("string") if not isinstance(value, str) else F.lit(value), F.lit(f"</{name}>"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (key % 90).cast("int"))
+    company = lambda form: F.concat(F.lit("<company>"), part("name", F.concat(F.lit("Company "), n)), part("uid", F.format_string("CHE-100.000.%03d", n)), part("legalForm", form), F.lit("</company>"))
+    form = F.when(n % 5 != 0, "0106").otherwise("0107")
+    capital = lambda c: F.concat(F.lit("<capital>"), part("nominal", c), F.lit("</capital>"))
+    xml = F.concat(
+        F.lit("<entry><meta>"), part("id", key), part("subRubric", "HR02"), part("language", "de"), part("publicationNumber", key), part("publicationDate", day), F.lit("</meta><content>"), part("publicationText", F.concat(F.lit("Kapital von Company "), n, F.lit(": neu."))), F.lit("<commonsNew>"), company(form),
+        part("purpose", F.when(F.col("c_mktsegment") == "MACHINERY", "Entwicklung von Software.").otherwise("Handel.")), capital(100000 + (key % 7) * 500), F.lit("</commonsNew><commonsActual>"), company(form), capital(F.lit(100000)), F.lit("</commonsActual></content></entry>"),
+    )
+    raw = tables.table(spark, sf_dir, "customer").select(xml.alias("xml"))
+    parsed = derivation.parse(raw, releases.scratch(spark, "parsed"))
+    answers = spark.createDataFrame([], "input_hash string, model string, prompt string, score double, error string")
+    told = derivation.derive(parsed, derivation.Plan(snapshot="2024-03-15", backfill_start="2024-01-15"), answers).rows
+    judged = told["assessments"].join(told["events"].select("event_id", "uid"), "event_id")
+    return judged.groupBy("tier", "reject_reason", F.concat_ws("|", "rule_hits").alias("rules")).agg(F.count("*").alias("n"), F.count_distinct("uid").alias("companies")).withColumn("publications", F.lit(parsed.counters()["publications"]).cast("long"))
