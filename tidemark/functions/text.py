@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities and what they stand for; the ampersand comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-#: Accented Latin letters and their bare ones.
-ACCENTED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Named entities and what they stand for.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+_ENTITY = r"(?i)&(#x[0-9a-f]+|#[0-9]+|[a-z]+);"
 #: Legal-form words.
 LEGAL_WORDS = r"\b(?:ag|sa|s\.a\.|gmbh|sarl|sagl|ltd|inc|llc|plc|holding|in liquidation)\b"
 #: Currencies.
@@ -18,7 +18,44 @@ CURRENCIES = ("CHF", "EUR", "USD", "GBP")
 
 
 def decode_entities(text: Column) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """Named and numeric entities in one pass, so what a decoded one makes up with its neighbours stays; unknown ones, and numbers of no character, stay too."""
+
+    def decoded(entity: Column) -> Column:
+        digits = F.substring(entity, 2, 12)
+        number = F.when(F.lower(entity).startswith("#x"), F.conv(F.substring(entity, 3, 12), 16, 10)).otherwise(digits).try_cast("long")
+        character = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        real = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF) & (F.length(entity) <= 10)
+        named = reduce(lambda out, e: F.when(F.lower(entity) == e[0], e[1]).otherwise(out), ENTITIES.items(), F.lit(None).cast("string"))
+        return F.coalesce(F.when(entity.startswith("#"), F.when(real, character)).otherwise(named), F.concat(F.lit("&"), entity, F.lit(";")))
+
+    parts, entities = F.split(text, _ENTITY), F.regexp_extract_all(text, F.lit(_ENTITY), 1)
+    both = F.zip_with(parts, F.transform(entities, decoded), lambda p, e: F.concat(p, F.coalesce(e, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(both, "")).otherwise(text)
+
+
+@cache
+def bare_letters() -> tuple[str, str, dict[str, str]]:
+    """Of all characters but ASCII: (those that stand for one of a name's characters, and then the accents, which go; what they stand for; those that stand for several).
+
+    Made from the decompositions of the Unicode database: what is left of a character without its accents, in lower case,
+    where that holds a letter a to z, a digit, a dot or an ampersand.
+    """
+    accents = [chr(c) for c in range(0x300, 0x370)]
+    one, several = {}, {}
+    for c in (chr(k) for k in range(0x80, 0x30000) if not 0xD800 <= k <= 0xDFFF):
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if x not in accents).lower()
+        if any(x in "abcdefghijklmnopqrstuvwxyz0123456789.&" for x in left):
+            (one if len(left) == 1 else several)[c] = left
+    return "".join(one) + "".join(accents), "".join(one.values()), several
+
+
+def bare(text: Column) -> Column:
+    """Lower case, decomposed, without accents. Few texts have characters that stand for several; only those are looked at one by one."""
+    known, plain, several = bare_letters()
+    told = F.lower(F.translate(text, known, plain))
+    one_by_one = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(told, ""), lambda c: F.coalesce(F.element_at(one_by_one, c), c)), "")
+    return F.when(text.rlike("[" + "".join(several) + "]"), spread).otherwise(told)
 
 
 def strip_tags(html: Column) -> Column:
@@ -38,8 +75,7 @@ def display_uid(canonical: Column) -> Column:
 
 def normal_name(name: Column) -> Column:
     """Bare lower-case words: letters a to z, digits and dots."""
-    bare = F.translate(F.lower(name), ACCENTED, BARE)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(bare, F.lit("&"), F.lit(" and ")), r"[^a-z0-9.]+", " "), r" +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(bare(name), F.lit("&"), F.lit(" and ")), r"[^a-z0-9.]+", " "), r" +", " "))
 
 
 def name_stem(name: Column) -> Column:
