@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, domain, text
-from tidemark.operators import asof
+from tidemark.operators import asof, leaks
 from tidemark.plans.catalogue import query
 from tidemark.sources import tables
 
@@ -63,8 +63,12 @@ def asof_scalar_subquery(spark, sf_dir):
 
 
 def feed_rows(spark, sf_dir, as_of: str = AS_OF) -> DataFrame:
+    return feed_of(tables.events(spark, sf_dir), as_of)
+
+
+def feed_of(events: DataFrame, as_of: str) -> DataFrame:
     """One week's capital steps, as of a day: cancelled ones out, with tier, latest attribute, confirmation and status."""
-    v = asof.visible(tables.events(spark, sf_dir), as_of)
+    v = asof.visible(events, as_of)
     start = F.date_trunc("week", F.lit(as_of).cast("date")).cast("date")
     window = v.where((F.col("published_at") >= start) & ((F.col("published_at") <= F.date_add(start, 6)) | (F.col("type") == "error")))
     steps = asof.uncancelled(window.where("type = 'purchase'"), _cancellations(window), "event_id")
@@ -209,3 +213,10 @@ def sorted_views(spark, sf_dir):
         "event_id", "user_id", (F.col("above") + F.row_number().over(Window.partitionBy("published_at").orderBy(F.desc("event_id")))).alias("feed_rank"),
         F.row_number().over(own.orderBy("published_at", "event_id")).cast("long").alias("record_rank"), (F.row_number().over(own.orderBy(F.desc("published_at"), F.desc("event_id"))) <= 12).alias("shown"),
     )
+
+
+@query("""with k as (select user_id, row_number() over (order by user_id) - 1 as r, count(*) over () as n from (select distinct user_id from events)), d as (select range as draw, ('0x' || substr(md5('leaks:' || range), 1, 8))::bigint as u from range(40))
+ select d.draw::bigint as draw, k.user_id from d join k on k.r = (d.u * k.n) >> 32""")
+def drawn_keys(spark, sf_dir):
+    """Entities drawn with replacement, whose outputs are rewound to look for leaks."""
+    return leaks.draws(tables.events(spark, sf_dir), "user_id", 40, "leaks")
