@@ -26,7 +26,7 @@ def test_same_system(spark):
 
 
 def test_redaction_of_odd_texts(spark):
-    df = spark.createDataFrame([(None, None), ("", []), ("c/o Anna Muster und C++ Labs", ["C++ Labs"])], "t string, names array<string>")
+    df = spark.createDataFrame([(None, None), ("", []), ("c/o Ada Quandt und C++ Labs", ["C++ Labs"])], "t string, names array<string>")
     got = df.select(redaction.redacted(F.col("t"), F.col("names"), F.lit(None).cast("string")), redaction.numbered(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [(None, None), ("", ""), ("c/o [person] und [company]", "c/o <PERSON_1> und C++ Labs")]
 
