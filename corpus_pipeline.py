@@ -76,7 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens. A null or empty text is its end alone; repeated rows are packed each; no rows give none."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, drops_blanks=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, drops_blanks=False, keep_cache=False)
 
 
 def _few_rows(stage):
@@ -95,7 +95,6 @@ def _few_rows(stage):
 STAGES = [(name, _few_rows(stage)) for name, stage in (("quality", clean), ("near duplicates", one_of_each), ("personal data", mask), ("mixing", mix), ("packing", pack))]
 
 
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written and read again."""
     docs = documents(spark, sf_dir)

@@ -273,6 +273,11 @@ def test_sum_of_squares_level():
     assert small.open == 0 and sum(len(x[2]) for w in closed for x in w) == 50 * 24
 
 
+def test_giving_up_the_cache_changes_nothing(docs):
+    of = lambda keep: sorted(map(str, packing.pack(docs, BYTE, end_id=0, drops_blanks=False, keep_cache=keep).collect()))
+    assert of(True) == of(False)
+
+
 # 5 --------------------------------------------------------------------------------------------------------
 
 

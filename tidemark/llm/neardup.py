@@ -156,6 +156,7 @@ def profiles(docs: DataFrame, how: NearDup) -> DataFrame:
                 bands.append(band.view(np.int64).tolist())
                 sig.append((low & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "n", "key", "bands", "sig"])
+        _HASHES.clear()  # a worker that goes on to other stages keeps no words
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, sig binary")
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import as_bytes
-from tidemark.llm.vocab import encoded
+from tidemark.llm.vocab import encoded, forget
 
 CAPACITY = 1024
 #: A piece: document, start in it, ids as bytes, the document's tokens.
@@ -96,9 +96,11 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, drops_blanks: bool, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int, drops_blanks: bool, capacity: int = CAPACITY, keep_cache: bool = True) -> DataFrame:
     """Pieces: (doc_id, start, length, ids, doc_tokens, sequence_id, offset, padded_length).
 
+    Without ``keep_cache`` a worker gives up its encodings after each task, and so leaves its memory to other stages.
+
     No exchange. A sequence's id is its task's number and its number there; both follow from the input's
     splits and rows, so a task that runs again gives the same.
     """
@@ -131,5 +133,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, drops_blanks: bool, capa
                     closed = []
             yield from rows(closed)
         yield from rows(packer.finish())
+        if not keep_cache:
+            forget(vocabulary, drops_blanks)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long")

@@ -98,6 +98,13 @@ def coder(path: str, drops_blanks: bool) -> Coder:
     return _CODERS[path, drops_blanks]
 
 
+def forget(path: str, drops_blanks: bool) -> None:
+    """Empties the worker's cache of encodings; the vocabulary stays."""
+    own = coder(path, drops_blanks)
+    own.clear()
+    own.words.clear()
+
+
 def encoded(path: str, drops_blanks: bool, texts: list[str], end_id: int):
     """Yields each text's ids with ``end_id`` after them."""
     encode, end = coder(path, drops_blanks).encode, np.asarray([end_id], "<u4").tobytes()
