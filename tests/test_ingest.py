@@ -35,6 +35,14 @@ def test_second_run_reads_only_new_files(spark, tmp_path):
     assert landing.take_in(spark, str(source), path) == 2 and docs() == [("a", "a.xml"), ("b", "b.xml"), ("c", "c.xml")]
 
 
+def test_white_space_around_landed_documents(spark):
+    texts = {"lf": GOOD.format("a") + "\n", "crlf": "\r\n" + GOOD.format("b") + "\r\n\t ", "none": GOOD.format("c"), "cut": GOOD.format("d")[:-1] + "\n", "blank": "\t\r\n \n"}
+    files = spark.createDataFrame([(k, None, bytearray(v, "utf-8")) for k, v in texts.items()], "path string, modificationTime timestamp, content binary")
+    got = {r.file: (r.id, r.xml, r.reason) for r in landing.checked(files).collect()}
+    assert {k: (i, reason) for k, (i, _, reason) in got.items()} == {"lf": ("a", None), "crlf": ("b", None), "none": ("c", None), "cut": (None, "not a whole document"), "blank": (None, "empty")}
+    assert {k: x for k, (_, x, _) in got.items()} == texts  # kept as they came
+
+
 SCHEMA = "id string, published_at date, text string"
 
 

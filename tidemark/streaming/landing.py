@@ -14,6 +14,8 @@ from tidemark.operators import sinks
 from tidemark.sources import gazette
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
+#: XML's white space; without it named, Spark's trims take spaces alone.
+_BLANKS = " \t\r\n"
 
 
 def checked(files: DataFrame) -> DataFrame:
@@ -22,9 +24,9 @@ def checked(files: DataFrame) -> DataFrame:
     told = files.select(F.col("path").alias("file"), F.col("modificationTime").alias("landed_at"), text.alias("xml"))
     # what does not end as it began was cut off, or is another page
     root = F.regexp_extract("xml", r"<(?!\?|!)([A-Za-z_][\w.:-]*)", 1)
-    whole = (root != "") & F.rtrim("xml").endswith(F.concat(F.lit("</"), root, F.lit(">")))
+    whole = (root != "") & F.rtrim("xml", F.lit(_BLANKS)).endswith(F.concat(F.lit("</"), root, F.lit(">")))
     id_ = F.nullif(F.regexp_extract("xml", r"<id>\s*([^<\s]+)\s*</id>", 1), F.lit(""))
-    reason = F.when(F.col("xml").isNull(), "not UTF-8").when(F.trim("xml") == "", "empty").when(~whole, "not a whole document").when(~F.col("xml").rlike(r"<(?:\w+:)?publicationText|<(?:\w+:)?meta>"), "not a publication").when(id_.isNull(), "no id")
+    reason = F.when(F.col("xml").isNull(), "not UTF-8").when(F.trim("xml", F.lit(_BLANKS)) == "", "empty").when(~whole, "not a whole document").when(~F.col("xml").rlike(r"<(?:\w+:)?publicationText|<(?:\w+:)?meta>"), "not a publication").when(id_.isNull(), "no id")
     return told.select("file", "landed_at", F.when(reason.isNull(), id_).alias("id"), "xml", reason.alias("reason"))
 
 
