@@ -63,3 +63,18 @@ def test_short_ranges_fail(spark, landed):
     page.write_text(json.dumps(told | {"total": 3}))
     with pytest.raises(PySparkException, match="pages of"):
         listing.listed(spark, str(landed), "2024-02-01", "2024-02-20")[0].count()
+
+
+@pytest.mark.parametrize("pushed", ["true", "false"])
+def test_one_listing_used_in_several_ways(spark, landed, pushed):
+    """Spark keeps one set of pushed filters for each load, and all scans of the load get the last one."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
+    rows, found = listing.listed(spark, str(landed), "2024-01-02", "2024-02-01")
+    of = lambda k: found.where(F.col("keyword") == k).select("keyword", "n")
+    assert sorted(map(tuple, of("Kapitalband").unionByName(of("Aktienkapital")).collect())) == [("Aktienkapital", 5), ("Kapitalband", 2)]
+    both = of("Kapitalband").crossJoin(rows.agg(F.count("*").alias("all"))).collect()
+    assert [tuple(r) for r in both] == [("Kapitalband", 2, 6)]
+    # folders outside of the window are not read
+    (landed / "something else" / "2024-01-01_2024-01-31" / "0.json").write_text("{")
+    (landed / "Aktienkapital" / "2024-02-01_2024-03-02" / "0.json").write_text("{")
+    assert listing.listed(spark, str(landed), "2024-01-02", "2024-01-20")[0].count() == 5

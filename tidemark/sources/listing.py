@@ -1,10 +1,14 @@
-"""A windowed listing as a data source: keywords, sub-rubrics and days are pushed into it, and it reads no page it need not.
+"""A windowed listing as a data source: it is told keywords, sub-rubrics and days, and reads no page it need not.
 
 A landed listing is a folder for each keyword and range of days, ``<path>/<keyword>/<first>_<last>/<page>.json``, each page
 {total, items: [{id, language, subRubric, publicationDate, title}]}. Keywords and days choose the folders, a page is one
 partition, and what a folder holds must add up to the total that its pages tell, or the read fails. Paths are those
 of any file system that pyarrow knows by its scheme.
 
+The window is an option of the load. Without one, filters are pushed where the session sets spark.sql.python.filterPushdown.enabled.
+Spark 4.1 keeps one set of pushed filters for each load and uses it for all scans of that load, unfiltered ones too: such a
+load is for one set of filters only. A load with a window takes no pushed filters, so any plan may use it as it likes.
+
 Edge cases: a window that nothing landed for is an error, not an empty list; null values of an item are kept as they are; an
 item that several folders hold comes several times.
 """
@@ -40,7 +44,7 @@ class Page(InputPartition):
 
 
 class ListingSource(DataSource):
-    """``spark.read.format("tidemark_listing").load(path)``; filters are pushed where spark.sql.python.filterPushdown.enabled is set."""
+    """``spark.read.format("tidemark_listing").load(path)``; the option ``window`` is JSON of keywords, rubrics, first and last."""
 
     @classmethod
     def name(cls) -> str:
@@ -50,45 +54,21 @@ class ListingSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        window = self.options.get("window")
+        return _PushedReader(self.options["path"]) if window is None else _Reader(self.options["path"], window)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, window: str | None = None):
         self.path = path
         self.keywords: set[str] | None = None
         self.rubrics: set[str] | None = None
         self.first, self.last = date.min, date.max
         self.filled: set[str] = set()
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if not self._take(f):
-                yield f
-
-    def _take(self, f: Filter) -> bool:
-        """Whether the source answers the filter itself."""
-        column = getattr(f, "attribute", ("",))
-        if isinstance(f, IsNotNull) and column in (("keyword",), ("sub_rubric",), ("published_at",)):
-            self.filled.add(column[0])
-            return True
-        values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-        if column == ("published_at",):
-            if isinstance(f, (EqualTo, GreaterThanOrEqual)):
-                self.first = max(self.first, f.value)
-            if isinstance(f, (EqualTo, LessThanOrEqual)):
-                self.last = min(self.last, f.value)
-            if isinstance(f, GreaterThan):
-                self.first = max(self.first, f.value + timedelta(1))
-            if isinstance(f, LessThan):
-                self.last = min(self.last, f.value - timedelta(1))
-            return isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual))
-        if values is None or column not in (("keyword",), ("sub_rubric",)):
-            return False
-        name = "keywords" if column == ("keyword",) else "rubrics"
-        had = getattr(self, name)
-        setattr(self, name, values if had is None else had & values)
-        return True
+        if window is not None:
+            told = json.loads(window)
+            self.keywords, self.rubrics = set(told["keywords"]), set(told["rubrics"])
+            self.first, self.last = date.fromisoformat(told["first"]), date.fromisoformat(told["last"])
 
     def _store(self):
         from pyarrow import fs
@@ -138,15 +118,48 @@ class _Reader(DataSourceReader):
                 yield partition.keyword, x.get("id"), x.get("language"), x.get("subRubric"), day, x.get("title")
 
 
+class _PushedReader(_Reader):
+    """The reader of a load without a window."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if not self._take(f):
+                yield f
+
+    def _take(self, f: Filter) -> bool:
+        """Whether the source answers the filter itself."""
+        column = getattr(f, "attribute", ("",))
+        if isinstance(f, IsNotNull) and column in (("keyword",), ("sub_rubric",), ("published_at",)):
+            self.filled.add(column[0])
+            return True
+        values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+        if column == ("published_at",):
+            if isinstance(f, (EqualTo, GreaterThanOrEqual)):
+                self.first = max(self.first, f.value)
+            if isinstance(f, (EqualTo, LessThanOrEqual)):
+                self.last = min(self.last, f.value)
+            if isinstance(f, GreaterThan):
+                self.first = max(self.first, f.value + timedelta(1))
+            if isinstance(f, LessThan):
+                self.last = min(self.last, f.value - timedelta(1))
+            return isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual))
+        if values is None or column not in (("keyword",), ("sub_rubric",)):
+            return False
+        name = "keywords" if column == ("keyword",) else "rubrics"
+        had = getattr(self, name)
+        setattr(self, name, values if had is None else had & values)
+        return True
+
+
 def listed(spark: SparkSession, path: str, first: str, last: str, queries: tuple = QUERIES, rubrics: tuple = SUB_RUBRICS) -> tuple[DataFrame, DataFrame]:
     """(each entry of the window once, by its first keyword; what each query found) of a landed listing.
 
     A keyword counts the entries in its own language; those in another one are left out.
     """
     spark.dataSource.register(ListingSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     keys = spark.createDataFrame(list(queries), "keyword string, language string")
-    rows = spark.read.format("tidemark_listing").load(path)
+    window = {"keywords": [k for k, _ in queries], "rubrics": list(rubrics), "first": str(first), "last": str(last)}
+    rows = spark.read.format("tidemark_listing").option("window", json.dumps(window)).load(path)
     rows = rows.where(F.col("keyword").isin(*[k for k, _ in queries]) & F.col("sub_rubric").isin(*rubrics) & F.col("published_at").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     mine = F.array_contains(F.array(*[F.lit(f"{k}\x01{x}") for k, x in queries]), F.concat_ws("\x01", "keyword", "language"))
     rows = rows.where(mine)
