@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import canonical
 from tidemark.operators import derivation, releases
+from tidemark.sources import gazette
 
 D = datetime.date
 DOC = """<n:publication xmlns:n="http://x"><meta><id>{id}</id><rubric>HR</rubric><subRubric>{sub}</subRubric><language>de</language><publicationNumber>{number}</publicationNumber><publicationDate>{day}</publicationDate><cantons>SO</cantons></meta>
@@ -135,3 +136,36 @@ def test_canonical_json(spark):
     df = spark.sql("select named_struct('b', 1, 'a', named_struct('d', cast(null as string), 'c', 'ü')) x, named_struct('a', named_struct('c', 'ü', 'd', cast(null as string)), 'b', 1) y")
     r = df.select(canonical.json_value(F.col("x")).alias("j"), canonical.fingerprint(F.col("x")).alias("x"), canonical.fingerprint(F.col("y")).alias("y")).first()
     assert r.j == '{"a":{"c":"ü","d":null},"b":1}' and r.x == r.y
+
+
+def test_fields_are_the_first_places_of_their_paths(spark):
+    odd = """<!DOCTYPE n:p [<!ENTITY firm "Onyx">]><n:p xmlns:n="http://x"><meta><id> p1 </id><id>p2</id><subRubric/><publicationNumber>&#8203;7</publicationNumber></meta><meta><id>p3</id></meta>
+<content><publicationText>Sitz <b>Olten</b>: &lt;neu&gt; <![CDATA[& <alt>]]></publicationText><commonsNew><capital><nominal>1'000,50</nominal></capital><company><name>&firm; AG</name></company><purpose>  </purpose></commonsNew></content></n:p>"""
+    r = gazette.publications(frame(spark, [odd])).first()
+    assert (r.id, r.sub_rubric, r.number, r.text, r.name, r.purpose) == ("p1", None, "\u200b7", "Sitz Olten: <neu> & <alt>", "Onyx AG", None)
+    assert (r.capital_after, r.capital_before, r.published_at, r.canton, r.uid, r.flagged) == ("1000.5", None, None, None, None, None)
+    none = gazette.publications(spark.createDataFrame([(None,), ("",)], "xml string")).collect()
+    assert [(r.id, r.text) for r in none] == [(None, "")] * 2
+
+
+def test_a_document_is_read_once_for_all_fields(spark):
+    plan = gazette.publications(frame(spark, HISTORY))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("xpath") == 1
+
+
+def test_names_of_a_long_history_are_held_once(spark, tmp_path):
+    days = [f"2024-{m:02d}-{d:02d}" for m in (1, 2) for d in range(1, 29)]
+    docs = [doc(k, days[k * len(days) // 600], name="Quarz AG" if k < 400 else "Onyx AG", old="Quarz Labs AG" if k == 0 else "Quarz AG") for k in range(600)]
+    rows = derivation.folded(derivation.parse(frame(spark, docs), str(tmp_path / "parsed")).parent)
+    assert {(int(r.id[1:]) >= 400, *sorted(r.names)) for r in rows.collect() if r.published_at != D(2024, 2, 10)} == {(False, "Quarz AG", "Quarz Labs AG"), (True, "Onyx AG", "Quarz AG", "Quarz Labs AG")}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(" in plan and "collect_list(" not in plan  # a list would hold a name for each publication before, in each row
+
+
+def test_documents_of_a_small_file_are_dealt(spark, monkeypatch):
+    from tidemark.plans import catalogue
+
+    seen, parse = [], derivation.parse
+    monkeypatch.setattr(derivation, "parse", lambda raw, path: (seen.append(raw.rdd.getNumPartitions()), parse(raw, path))[1])
+    catalogue.queries()["release_tiers"](spark, "/root/testdata/sf0.001")
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]

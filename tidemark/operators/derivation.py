@@ -91,7 +91,7 @@ def folded(parent: DataFrame, founding: DataFrame | None = None) -> DataFrame:
     told = own.select(
         "*", F.last("_step", ignorenulls=True).over(before).alias("_previous"), F.coalesce(F.last("_band", ignorenulls=True).over(before), F.lit(False)).alias("prior_band"),
         F.coalesce(F.max("_converted").over(before), F.lit(False)).alias("converted_before"), F.first("_founded", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_formed"),
-        F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("name", "name_before"))).over(days))).alias("names"),
+        F.array_distinct(F.flatten(F.array_sort(F.collect_set(F.array_compact(F.array("name", "name_before"))).over(days)))).alias("names"),
     )
     if founding is not None:
         told = told.join(founding.select("uid", F.col("founded_on").alias("_known")), "uid", "left")

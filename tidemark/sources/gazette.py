@@ -47,21 +47,33 @@ REDENOMINATION = r"(?iu)monnaie du capital[\s\S]{0,200}?(?:a été )?converti|W
 CURRENCY_BEFORE = r"(?iu)monnaie du capital-actions de\s+(CHF|EUR|USD|GBP)\b"
 
 
-def at(*path: str) -> Column:
-    """The text at a path, whatever the root's prefix; null if missing."""
-    return F.nullif(F.trim(F.xpath_string(F.col("xml"), F.lit("(//" + "/".join(path) + ")[1]"))), F.lit(""))
+#: Where each field of a document stands, whatever the root's prefix.
+PATHS = {
+    "id": "meta/id", "sub_rubric": "meta/subRubric", "language": "meta/language", "number": "meta/publicationNumber", "day": "meta/publicationDate", "cantons": "meta/cantons", "journal_day": "content/journalDate", "text": "content/publicationText",
+    "uid": "commonsNew/company/uid", "name": "commonsNew/company/name", "legal_form": "commonsNew/company/legalForm", "name_before": "commonsActual/company/name", "legal_form_before": "commonsActual/company/legalForm", "purpose": "commonsNew/purpose", "seat": "commonsNew/company/seat",
+    "capital_after": "commonsNew/capital/nominal", "capital_before": "commonsActual/capital/nominal", "flagged": "capitalChanged/nominal",
+}
+# A character that no XML document can hold, not even as a reference.
+_BETWEEN = "\uffff"
+
+
+def fields(xml: Column) -> Column:
+    """Array of the trimmed texts at ``PATHS``, in their order; null where one is missing or blank. A document is read once for all of them.
+
+    A path in ``concat`` stands for the text of its first place in the document.
+    """
+    every = "concat(" + f",'{_BETWEEN}',".join(f"//{path}" for path in PATHS.values()) + ")"
+    return F.transform(F.split(F.xpath_string(xml, F.lit(every)), _BETWEEN), lambda x: F.nullif(F.trim(x), F.lit("")))
 
 
 def publications(raw: DataFrame) -> DataFrame:
     """(xml) to one row for each document, numbers as their decimal text."""
-    body = F.coalesce(at("content", "publicationText"), F.lit(""))
-    return raw.select(
-        at("meta", "id").alias("id"), at("meta", "subRubric").alias("sub_rubric"), at("meta", "language").alias("language"), at("meta", "publicationNumber").alias("number"),
-        F.substring(at("meta", "publicationDate"), 1, 10).try_cast("date").alias("published_at"), F.get(F.split(at("meta", "cantons"), r"[ ,]"), F.lit(0)).alias("canton"),
-        F.substring(at("content", "journalDate"), 1, 10).try_cast("date").alias("journal_at"), body.alias("text"),
-        text.uid(at("commonsNew", "company", "uid")).alias("uid"), at("commonsNew", "company", "name").alias("name"), at("commonsNew", "company", "legalForm").alias("legal_form"),
-        at("commonsActual", "company", "name").alias("name_before"), at("commonsActual", "company", "legalForm").alias("legal_form_before"), at("commonsNew", "purpose").alias("purpose"), at("commonsNew", "company", "seat").alias("seat"),
-        text.plain_number(at("commonsNew", "capital", "nominal")).alias("capital_after"), text.plain_number(at("commonsActual", "capital", "nominal")).alias("capital_before"), (at("capitalChanged", "nominal") == "true").alias("flagged"),
+    at = {name: F.get("_fields", F.lit(k)) for k, name in enumerate(PATHS)}
+    same = lambda *names: [at[name].alias(name) for name in names]
+    return raw.select(fields(F.col("xml")).alias("_fields")).select(
+        *same("id", "sub_rubric", "language", "number"), F.substring(at["day"], 1, 10).try_cast("date").alias("published_at"), F.get(F.split(at["cantons"], r"[ ,]"), F.lit(0)).alias("canton"),
+        F.substring(at["journal_day"], 1, 10).try_cast("date").alias("journal_at"), F.coalesce(at["text"], F.lit("")).alias("text"), text.uid(at["uid"]).alias("uid"), *same("name", "legal_form", "name_before", "legal_form_before", "purpose", "seat"),
+        text.plain_number(at["capital_after"]).alias("capital_after"), text.plain_number(at["capital_before"]).alias("capital_before"), (at["flagged"] == "true").alias("flagged"),
     )
 
 
